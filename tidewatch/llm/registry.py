@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import mixing
+from tidewatch.llm import decontaminate, mixing
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.query,
     "op6_mixing": mixing.query,
 }
 
 ORACLES = {
+    "op3_decontaminate": decontaminate.ORACLE,
     "op6_mixing": mixing.ORACLE,
 }
