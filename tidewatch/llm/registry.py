@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, mixing
+from tidewatch.llm import decontaminate, mixing, pii, secrets
 
 QUERIES = {
+    "op2_pii": pii.query,
     "op3_decontaminate": decontaminate.query,
     "op6_mixing": mixing.query,
+    "op8_secrets": secrets.query,
 }
 
 ORACLES = {
