@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, mixing, pii, secrets
+from tidewatch.llm import decontaminate, mixing, pii, quality, secrets
 
 QUERIES = {
     "op2_pii": pii.query,
     "op3_decontaminate": decontaminate.query,
     "op6_mixing": mixing.query,
     "op8_secrets": secrets.query,
+    "op9_quality": quality.query,
 }
 
 ORACLES = {
