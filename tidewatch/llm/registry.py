@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, mixing, pii, quality, secrets
+from tidewatch.llm import decontaminate, mixing, pii, quality, secrets, tokenout
 
 QUERIES = {
     "op2_pii": pii.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_mixing": mixing.query,
     "op8_secrets": secrets.query,
     "op9_quality": quality.query,
+    "op10_tokens": tokenout.query,
 }
 
 ORACLES = {
