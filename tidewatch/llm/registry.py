@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, mixing, pii, quality, secrets, tokenout
+from tidewatch.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, tokenout
 
 QUERIES = {
     "op2_pii": pii.query,
     "op3_decontaminate": decontaminate.query,
     "op6_mixing": mixing.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_secrets": secrets.query,
     "op9_quality": quality.query,
     "op10_tokens": tokenout.query,
