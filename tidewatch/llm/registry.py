@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidewatch.llm import decontaminate, mixing, ngram_join, pii, quality, secrets, tokenout
+from tidewatch.llm import decontaminate, embed_dedup, mixing, ngram_join, pii, quality, secrets, tokenout
 
 QUERIES = {
     "op2_pii": pii.query,
     "op3_decontaminate": decontaminate.query,
+    "op4_embed_dedup": embed_dedup.query,
     "op6_mixing": mixing.query,
     "op7_ngram_join": ngram_join.query,
     "op8_secrets": secrets.query,
