@@ -7,7 +7,11 @@
    threshold is expected to stay together once). Buckets of more than ``LIMIT`` sets
    are split again, at places drawn from the bucket's path, up to ``DEPTH`` times;
    what is still larger is compared in blocks. Buckets of equal members are compared
-   once. Runs are repeated until the target recall: ``runs_for``.
+   once. Runs are repeated until the target recall: ``runs_for``. Before a bucket is
+   split, its sets are compared with a few of its own, the leaders: sets alike are
+   linked to the leader for now, and those very close to it need no splitting, for by
+   the triangle inequality of the Jaccard distance whatever is within 0.2 of such a
+   set is itself near enough to that leader to be linked to it.
 3. In a bucket, sets whose sketches agree in ``LOOSE`` of the places or more are
    linked for now; connected components of these links are candidate classes.
 4. In each candidate class all pairs are verified exactly, in blocks, on whole
@@ -38,6 +42,8 @@ from tidewatch.llm.words import Words, mix, words
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
 SKETCH, LIMIT, DEPTH = 64, 256, 4
 LOOSE = 0.6
+#: Leaders of a bucket that is too large, and the shares of equal places from which a set is linked to one, and leaves.
+LEADERS, BESIDE, CLOSE = 4, 0.5, 0.875
 #: Chance that a run keeps a pair at the threshold together down to a bucket that is compared.
 KEPT = 0.4
 #: Rows of (id, hash) up to which they are broadcast; beyond it the join shuffles.
@@ -185,10 +191,27 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def buckets(scratch: common.Scratch, nodes: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> DataFrame:
-    """Members (b, id, n) of the buckets to compare, from ``nodes(id, keys, sketch)``; n is the bucket's size."""
+def beside_leaders(batches):
+    """Arrow function: (b, id, sketch, leader ids, leader sketches) to b, id, the leaders it is linked to, and whether it stays."""
+    for batch in batches:
+        codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, SKETCH)
+        ids = batch.column(1).to_numpy(zero_copy_only=False)
+        near = np.zeros((LEADERS, len(ids)), bool)
+        stays = np.ones(len(ids), bool)
+        lead = np.array(batch.column(3).to_pylist(), np.int64).reshape(-1, LEADERS)
+        other = np.frombuffer(b"".join(x for row in batch.column(4).to_pylist() for x in row), np.uint16).reshape(-1, LEADERS, SKETCH)
+        for k in range(LEADERS):
+            same = (codes == other[:, k]).sum(axis=1)
+            near[k] = (same >= BESIDE * SKETCH) & (lead[:, k] != ids)
+            stays &= same < CLOSE * SKETCH
+        linked = [lead[r, near[:, r]].tolist() for r in range(len(ids))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.list_(pa.int64())), pa.array(stays)], ["b", "id", "leaders", "stays"])
+
+
+def buckets(scratch: common.Scratch, nodes: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
+    """Members (b, id, n) of the buckets to compare, from ``nodes(id, keys, sketch)``, n the bucket's size; and edges (a, b) to leaders."""
     level = nodes.select("id", F.explode("keys").alias("b"))
-    out = None
+    out, edges = None, scratch.spark.createDataFrame([], "a bigint, b bigint")
     for d in range(depth + 1):
         sizes = level.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("y")).filter("n > 1")
         sizes = scratch.write(sizes.groupBy("n", "x", "y").agg(F.min("b").alias("b")).select("b", "n"), f"sizes-{d}")
@@ -198,24 +221,30 @@ def buckets(scratch: common.Scratch, nodes: DataFrame, limit: int = LIMIT, depth
         large = sizes.filter(F.col("n") > limit)
         if d == depth or large.isEmpty():
             break
-        inside = level.join(large, "b").select("id", "b").join(nodes.select("id", "sketch"), "id")
+        inside = scratch.write(level.join(large, "b").select("id", "b").join(nodes.select("id", "sketch"), "id"), f"inside-{d}")
+        first = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "sketch")).alias(f"l{k}") for k in range(LEADERS)]
+        leaders = inside.groupBy("b").agg(*first).select("b", F.array(*[f"l{k}.id" for k in range(LEADERS)]).alias("lead"), F.array(*[f"l{k}.sketch" for k in range(LEADERS)]).alias("codes"))
+        beside = inside.select("b", "id", "sketch").join(leaders, "b").select("b", "id", "sketch", "lead", "codes")
+        beside = scratch.write(beside.mapInArrow(beside_leaders, "b bigint, id bigint, leaders array<bigint>, stays boolean"), f"beside-{d}")
+        edges = edges.unionByName(beside.select(F.col("id").alias("a"), F.explode("leaders").alias("b")).distinct())
+        left = beside.filter("stays").select("b", "id").join(nodes.select("id", "sketch"), "id")
 
         def child(salt: int, d: int = d):
             place = F.pmod(F.xxhash64("b", F.lit(d), F.lit(salt)), F.lit(SKETCH)).cast("int")
             return F.xxhash64("b", place, F.substring("sketch", place * 2 + 1, F.lit(2)))
 
         again = F.pmod(F.xxhash64("b", F.lit(d), F.lit(3)), F.lit(4)) == 0
-        level = scratch.write(inside.select("id", F.explode(F.when(again, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("b")).distinct(), f"level-{d + 1}")
-    return out
+        level = scratch.write(left.select("id", F.explode(F.when(again, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("b")).distinct(), f"level-{d + 1}")
+    return out, edges
 
 
 def classes(scratch: common.Scratch, rows: DataFrame, texts: DataFrame, threshold: float, shingle: int, loose: float) -> DataFrame:
     """Of ``rows(uid, key, fp, keys, sketch)``: (uid, key, class_uid, class_key, n_links); ``texts(key, text)`` has the texts."""
     groups = rows.filter("fp is not null").groupBy("fp").agg(F.min("uid").alias("id"), F.count("*").alias("copies"), F.min("key").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min(F.struct("uid", "key"))["key"].alias("key"))
     groups = scratch.write(groups, "groups")
-    got = buckets(scratch, groups.select("id", "keys", "sketch"))
+    got, beside = buckets(scratch, groups.select("id", "keys", "sketch"))
     near = cells.dealt(got, cells.blocks_for(F.col("n"))).join(groups.select("id", "sketch"), "id")
-    loose_edges = scratch.write(cells.compared(near, alike_sketches(loose)).select("a", "b").distinct(), "loose")
+    loose_edges = scratch.write(cells.compared(near, alike_sketches(loose)).select("a", "b").unionByName(beside).distinct(), "loose")
     found = scratch.write(common.components(scratch, loose_edges, "loose-parts"), "candidates")
     need = scratch.write(found.join(groups.select("id", "key", "fp", "copies"), "id"), "need")
     held = small(need.select("id", "root", "copies", "key", "fp")).alias("n")
