@@ -1,4 +1,382 @@
 """Registered queries of the engine and the DuckDB SQL that states the same result."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewatch.config import Config
+from tidewatch.functions import storage
+from tidewatch.functions.scalar import even
+from tidewatch.ml import autoencoder, bundle, ensemble, iforest, ocsvm, scaler
+from tidewatch.operators import alerts, baseline, evaluate, explore, sessions
+from tidewatch.operators.ordering import with_sequence
+from tidewatch.plans import oracle
+from tidewatch.schema import DATASET, FEATURES
+from tidewatch.sources import simulate, tables
+from tidewatch.sources.telemetry import raw_events
+from tidewatch.streaming import native
+
+#: Minutes that make sessions of many events from the events table, and the default.
+LONG, SHORT = 720, 60
+SESSION_COLUMNS = ("username", "timestamp")
+CONFIG = Config()
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def found(spark: SparkSession, sf_dir: str, minutes: int = LONG) -> DataFrame:
+    return sessions.sessions(events(spark, sf_dir), minutes)
+
+
+def features(spark: SparkSession, sf_dir: str, split: str | None = None) -> DataFrame:
+    return sessions.session_features(events(spark, sf_dir), CONFIG, LONG, split)
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return baseline.user_zscores(features(spark, sf_dir))
+
+
+def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features as doubles, for statistics."""
+    return scored(spark, sf_dir).select(*[F.col(c).cast("double").alias(c) for c in FEATURES])
+
+
+def voted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of three fixed rules in the models' places, and a label from other columns."""
+    g = scored(spark, sf_dir)
+    rule = {"isolation_forest": F.abs("z_score_files") > 1.0, "one_class_svm": F.col("bytes_sent") > 50000, "autoencoder": F.col("entropy_commands") > 0.5}
+    label = F.when(F.col("nb_failed_logins") >= 3, 2).when(F.col("nb_sensitive_files") > 0, 1).otherwise(0)
+    return alerts.verdict(g.withColumns({m: F.struct(c.alias("anomaly")) for m, c in rule.items()}).withColumn("label", label), CONFIG.detection.ensemble_threshold)
+
+
+def simulated(spark: SparkSession):
+    return baseline.user_zscores(simulate.training_set(spark))
+
+
+def trained(spark: SparkSession) -> bundle.Bundle:
+    return bundle.fit(simulated(spark), CONFIG)
+
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+RAW_COLUMNS = ("_seq", "username", "event_id", "src_ip", "file_path", "process_name", "command_line", "bytes_sent")
+
+
+@query("raw_events", f"WITH {oracle.RAW} SELECT {', '.join(RAW_COLUMNS)} FROM raw")
+def _(spark, d):
+    return events(spark, d).select(*RAW_COLUMNS)
+
+
+@query("event_class_counts", f"WITH {oracle.RAW} SELECT CASE event_id WHEN '4624' THEN 'login_success' WHEN '4625' THEN 'login_failed' WHEN '4663' THEN 'file_access' WHEN '4688' THEN 'process' WHEN '3' THEN 'network' ELSE 'other' END AS class, count(*) AS n FROM raw GROUP BY ALL")
+def _(spark, d):
+    from tidewatch.schema import CLASSES
+
+    kind = F.lit("other")
+    for name, ids in CLASSES.items():
+        kind = F.when(F.col("event_id").isin(*ids), name).otherwise(kind)
+    return events(spark, d).groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
+
+
+def bounds(spark, d, minutes):
+    s = found(spark, d, minutes)
+    minutes_long = even(F.greatest((F.unix_micros("last_ts") - F.unix_micros("start_ts")) / 1e6 / 60, F.lit(1.0)), 2)
+    return s.select("username", F.col("start.ts_text").alias("timestamp"), "nb_events", minutes_long.alias("session_duration_min"))
+
+
+def bounds_sql(minutes):
+    return f"WITH {oracle.sessions(minutes)} SELECT s.username, timestamp, nb_events, session_duration_min FROM sess s JOIN f ON s.username = f.username AND s.sid = f.sid"
+
+
+@query("sessions_60m", bounds_sql(SHORT))
+def _(spark, d):
+    return bounds(spark, d, SHORT)
+
+
+@query("sessions_720m", bounds_sql(LONG))
+def _(spark, d):
+    return bounds(spark, d, LONG)
+
+
+def plain(columns: str):
+    """A query over sessions and the same columns in SQL."""
+    sql = f"WITH {oracle.sessions(LONG)} SELECT username, strftime(start_ts, '%Y-%m-%dT%H:%M:%S+00:00') AS timestamp, {columns} FROM sess"
+    return sql, lambda spark, d: found(spark, d).select("username", F.col("start.ts_text").alias("timestamp"), *[c.strip() for c in columns.split(",")])
+
+
+for _name, _columns in (("session_counts", "login_count, logout_count, nb_failed_logins, nb_files_accessed, nb_processes"), ("session_bytes", "bytes_sent"), ("session_new_ip", "new_ip, first_ip"), ("session_first_process", "process_name, command_line")):
+    _sql, _f = plain(_columns)
+    query(_name, _sql)(_f)
+
+
+def chosen(columns: str):
+    """A query over feature rows and the same columns in SQL."""
+    names = [*SESSION_COLUMNS, *[c.strip() for c in columns.split(",")]]
+    return f"WITH {oracle.sessions(LONG)} SELECT {', '.join(names)} FROM f", lambda spark, d: features(spark, d).select(*names)
+
+
+for _name, _columns in (("session_sensitive", "nb_sensitive_files, sensitive_path_access"), ("session_entropy", "entropy_commands"), ("session_velocity", "velocity, session_duration_min"), ("session_time_flags", "hour, is_night, is_weekend")):
+    _sql, _f = chosen(_columns)
+    query(_name, _sql)(_f)
+
+
+DATASET_SQL = f"WITH {oracle.scored(LONG)} SELECT {', '.join(DATASET)} FROM g"
+
+
+@query("session_features", DATASET_SQL)
+def _(spark, d):
+    return baseline.dataset(scored(spark, d))
+
+
+@query("session_features_split", DATASET_SQL)
+def _(spark, d):
+    """The same by the plan for data in which one user holds a large part of all rows."""
+    return baseline.dataset(baseline.user_zscores(features(spark, d, split="week"), skewed=True))
+
+
+@query("user_zscores", f"WITH {oracle.scored(LONG)} SELECT username, timestamp, z_score_files, z_score_logins FROM g")
+def _(spark, d):
+    return scored(spark, d).select("username", "timestamp", "z_score_files", "z_score_logins")
+
+
+@query("rolling_zscores", f"""WITH {oracle.sessions(LONG)},
+q AS (SELECT *, row_number() OVER (ORDER BY username, start_ts) - 1 AS seq FROM f)
+SELECT seq, username, timestamp, {oracle.z('nb_files_accessed', 'h')} AS z_score_files, {oracle.z('nb_failed_logins', 'h')} AS z_score_logins
+FROM q WINDOW h AS (PARTITION BY username ORDER BY seq RANGE BETWEEN 500 PRECEDING AND CURRENT ROW)""")
+def _(spark, d):
+    numbered = with_sequence(features(spark, d), "username", "start_ts")
+    return baseline.rolling_zscores(numbered, CONFIG.daemon.history_size).select("seq", "username", "timestamp", "z_score_files", "z_score_logins")
+
+
+@query("dataset_export", DATASET_SQL)
+def _(spark, d):
+    path = storage.fresh(spark, "export")
+    tables.write_csv(baseline.dataset(scored(spark, d)), path)
+    return tables.read_csv(spark, path).select(*DATASET)
+
+
+def describe_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, count(x) AS count, round(avg(x), 3) AS mean, round(stddev_samp(x), 3) AS std, round(min(x), 3) AS min, round(quantile_cont(x, 0.25), 3) AS q25, round(quantile_cont(x, 0.5), 3) AS q50, round(quantile_cont(x, 0.75), 3) AS q75, round(max(x), 3) AS max FROM (SELECT CAST({c} AS DOUBLE) AS x FROM g)" for c in FEATURES)
+    return f"WITH {oracle.scored(LONG)} {rows}"
+
+
+@query("feature_describe", describe_sql())
+def _(spark, d):
+    return explore.describe(numbers(spark, d))
+
+
+def correlation_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, CASE WHEN max({a}) <> min({a}) AND max({b}) <> min({b}) THEN round(corr({a}, {b}), 6) + 0.0 END AS r FROM g" for a, b in combinations(FEATURES, 2))
+    return f"WITH {oracle.scored(LONG)} {rows}"
+
+
+@query("feature_correlation", correlation_sql())
+def _(spark, d):
+    return explore.correlation(numbers(spark, d))
+
+
+@query("hour_histogram", f"WITH {oracle.sessions(LONG)} SELECT CAST(h AS INT) AS hour, count(f.hour) AS n FROM range(24) t(h) LEFT JOIN f ON f.hour = h GROUP BY h")
+def _(spark, d):
+    return explore.hours(features(spark, d))
+
+
+HISTOGRAM = """,
+x AS (SELECT CAST(nb_files_accessed AS DOUBLE) AS x FROM g),
+l AS (SELECT min(x) AS lo, max(x) AS hi, avg(x) AS mean, stddev_samp(x) AS sd, CASE WHEN max(x) > min(x) THEN (max(x) - min(x)) / 30 ELSE 1.0 END AS width FROM x),
+c AS (SELECT CAST(least(floor((x - lo) / width), 29) AS INT) AS bin, count(*) AS n FROM x, l GROUP BY 1)
+SELECT CAST(b AS INT) AS bin, lo + b * width AS low, coalesce(n, 0) AS n, round(mean + 2 * coalesce(sd, 0), 6) AS sigma_2, round(mean + 3 * coalesce(sd, 0), 6) AS sigma_3 FROM range(30) t(b) CROSS JOIN l LEFT JOIN c ON c.bin = b"""
+
+
+@query("feature_histogram", f"WITH {oracle.scored(LONG)}{HISTOGRAM}")
+def _(spark, d):
+    h = explore.histogram(scored(spark, d), "nb_files_accessed")
+    return h.select("bin", "low", "n", F.round("sigma_2", 6).alias("sigma_2"), F.round("sigma_3", 6).alias("sigma_3"))
+
+
+@query("score_histogram", f"""WITH {oracle.voted(LONG)},
+x AS (SELECT velocity AS x, is_anomaly AS flag FROM w),
+l AS (SELECT min(x) AS lo, max(x) AS hi, (max(x) - min(x)) / 30 AS width FROM x)
+SELECT flag, CAST(least(floor((x - lo) / width), 29) AS INT) AS bin, round(lo + least(floor((x - lo) / width), 29) * width, 9) AS low, count(*) AS n FROM x, l GROUP BY ALL""")
+def _(spark, d):
+    return explore.split_histogram(voted(spark, d), "velocity", "is_anomaly").select("flag", "bin", F.round("low", 9).alias("low"), "n")
+
+
+def scaled_sql() -> str:
+    parts = ", ".join(f"round((CAST(CAST({c} AS FLOAT) AS DOUBLE) - (SELECT avg(CAST(CAST({c} AS FLOAT) AS DOUBLE)) FROM g)) / (SELECT CASE WHEN max({c}) = min({c}) THEN 1.0 ELSE stddev_pop(CAST(CAST({c} AS FLOAT) AS DOUBLE)) END FROM g), 3) + 0.0 AS {c}" for c in FEATURES)
+    return f"WITH {oracle.scored(LONG)} SELECT username, timestamp, {parts} FROM g"
+
+
+@query("scaled_features", scaled_sql())
+def _(spark, d):
+    data = scored(spark, d)
+    out = scaler.transform(data, scaler.fit(data))
+    return out.select("username", "timestamp", *[(F.round(F.col("scaled")[i].cast("double"), 3) + F.lit(0.0)).alias(c) for i, c in enumerate(FEATURES)])
+
+
+@query("rule_votes", f"WITH {oracle.voted(LONG)} SELECT username, timestamp, votes, is_anomaly, confidence FROM w")
+def _(spark, d):
+    return voted(spark, d).select("username", "timestamp", "votes", "is_anomaly", "confidence")
+
+
+@query("vote_distribution", f"WITH {oracle.voted(LONG)} SELECT CAST(k AS INT) AS votes, count(w.votes) AS n, round(count(w.votes) / (SELECT count(*) FROM w), 6) AS share FROM range(4) t(k) LEFT JOIN w ON w.votes = k GROUP BY k")
+def _(spark, d):
+    return evaluate.vote_distribution(voted(spark, d))
+
+
+@query("alert_severity", f"""WITH {oracle.voted(LONG)} SELECT username, timestamp AS session_ts, votes, confidence,
+CASE WHEN votes = 3 OR (votes = 2 AND (nb_sensitive_files > 0 OR nb_failed_logins >= 5 OR is_night <> 0)) THEN 'HIGH' WHEN votes = 2 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+'ueba_anomaly' AS type, is_night = 1 AS is_night, nb_failed_logins, process_name, bytes_sent FROM w WHERE is_anomaly""")
+def _(spark, d):
+    rows = voted(spark, d).drop(*alerts.MODELS)
+    return alerts.shaped(rows).select("username", "session_ts", "votes", "confidence", "severity", "type", "indicators.is_night", "indicators.nb_failed_logins", "indicators.process_name", "indicators.bytes_sent")
+
+
+@query("anomaly_rates", f"WITH {oracle.voted(LONG)} SELECT 'first' AS name, round(avg(CAST(a AS INT)), 6) AS rate FROM w UNION ALL SELECT 'second', round(avg(CAST(b AS INT)), 6) FROM w UNION ALL SELECT 'third', round(avg(CAST(c AS INT)), 6) FROM w UNION ALL SELECT 'vote', round(avg(CAST(is_anomaly AS INT)), 6) FROM w")
+def _(spark, d):
+    rows = voted(spark, d).select("is_anomaly", *[F.col(m)["anomaly"].alias(m) for m in alerts.MODELS])
+    return explore.rates(rows, {"first": "isolation_forest", "second": "one_class_svm", "third": "autoencoder", "vote": "is_anomaly"})
+
+
+@query("label_votes", f"WITH {oracle.voted(LONG)} SELECT CASE label WHEN 0 THEN 'normal' WHEN 1 THEN 'insider' WHEN 2 THEN 'malware' END AS label_name, votes, count(*) AS n FROM w GROUP BY ALL")
+def _(spark, d):
+    return evaluate.label_votes(voted(spark, d))
+
+
+@query("label_counts", f"WITH {oracle.voted(LONG)} SELECT count(*) FILTER (WHERE label = 0) AS n_normal, count(*) FILTER (WHERE label = 1) AS n_insider, count(*) FILTER (WHERE label = 2) AS n_malware, count(*) AS n FROM w")
+def _(spark, d):
+    return evaluate.label_counts(voted(spark, d))
+
+
+CONFUSION = ", m AS (SELECT count(*) FILTER (WHERE label = 0 AND NOT is_anomaly) AS tn, count(*) FILTER (WHERE label = 0 AND is_anomaly) AS fp, count(*) FILTER (WHERE label > 0 AND NOT is_anomaly) AS fn, count(*) FILTER (WHERE label > 0 AND is_anomaly) AS tp FROM w)"
+
+
+@query("confusion_matrix", f"WITH {oracle.voted(LONG)}{CONFUSION} SELECT * FROM m")
+def _(spark, d):
+    return evaluate.confusion(voted(spark, d))
+
+
+@query("classification_report", f"""WITH {oracle.voted(LONG)}{CONFUSION},
+p AS (SELECT *, tn + fp AS s0, tp + fn AS s1, coalesce(tn / nullif(tn + fn, 0), 0.0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0.0) AS r0, coalesce(tp / nullif(tp + fp, 0), 0.0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0.0) AS r1 FROM m),
+o AS (SELECT *, s0 + s1 AS t, coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0.0) AS f0, coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0.0) AS f1, (tn + tp) / (s0 + s1) AS acc FROM p)
+SELECT 'normal' AS class, round(p0, 6) AS precision, round(r0, 6) AS recall, round(f0, 6) AS f1, s0 AS support FROM o
+UNION ALL SELECT 'attack', round(p1, 6), round(r1, 6), round(f1, 6), s1 FROM o
+UNION ALL SELECT 'accuracy', round(acc, 6), round(acc, 6), round(acc, 6), t FROM o
+UNION ALL SELECT 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6), round((f0 + f1) / 2, 6), t FROM o
+UNION ALL SELECT 'weighted avg', round((p0 * s0 + p1 * s1) / t, 6), round((r0 * s0 + r1 * s1) / t, 6), round((f0 * s0 + f1 * s1) / t, 6), t FROM o""")
+def _(spark, d):
+    return evaluate.report(voted(spark, d))
+
+
+@query("detection_rates", f"WITH {oracle.voted(LONG)}{CONFUSION} SELECT tp / nullif(tp + fn, 0) AS recall, tp / nullif(tp + fp, 0) AS precision, fp / nullif(fp + tn, 0) AS fpr FROM m")
+def _(spark, d):
+    return evaluate.rates(voted(spark, d))
+
+
+def radar_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT label, '{c}' AS feature, round(avg({c}) / ((SELECT max({c}) FROM w) + 1e-9), 6) AS value FROM w GROUP BY label" for c in evaluate.RADAR)
+    return f"WITH {oracle.voted(LONG)} {rows}"
+
+
+@query("radar_profile", radar_sql())
+def _(spark, d):
+    return evaluate.radar(voted(spark, d))
+
+
+@query("files_vs_bytes", f"WITH {oracle.voted(LONG)} SELECT nb_files_accessed, bytes_sent, label, is_anomaly FROM w")
+def _(spark, d):
+    return explore.scatter(voted(spark, d))
+
+
+@query("user_list", f"WITH {oracle.sessions(LONG)} SELECT username, count(*) AS sessions, strftime(min(start_ts), '%Y-%m-%d %H:%M:%S') AS first_ts FROM f GROUP BY username")
+def _(spark, d):
+    rows = features(spark, d).groupBy("username").agg(F.count("*").alias("sessions"), F.min("timestamp").alias("t"))
+    return rows.select("username", "sessions", F.regexp_replace(F.substring("t", 1, 19), "T", " ").alias("first_ts"))
+
+
+@query("dataset_summary", f"WITH {oracle.sessions(LONG)} SELECT count(*) AS sessions, count(DISTINCT username) AS users, epoch_us(min(start_ts)) AS first_us, epoch_us(max(last_ts)) AS last_us FROM f")
+def _(spark, d):
+    return explore.summary(features(spark, d)).select("sessions", "users", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+
+
+@query("positional_split", f"""WITH {oracle.sessions(LONG)},
+q AS (SELECT username, timestamp, row_number() OVER (ORDER BY username, start_ts) - 1 AS seq, count(*) OVER () AS t FROM f)
+SELECT username, timestamp, CASE WHEN seq < floor(0.8 * t) THEN 'train' ELSE 'validation' END AS part FROM q""")
+def _(spark, d):
+    rows = with_sequence(features(spark, d), "username", "start_ts")
+    cut = int(0.8 * rows.count())
+    return rows.select("username", "timestamp", F.when(F.col("seq") < cut, "train").otherwise("validation").alias("part"))
+
+
+def fitted_on_events(spark, d):
+    data = scored(spark, d)
+    return data, scaler.transform(data, scaler.fit(data))
+
+
+@query("iforest_score")
+def _(spark, d):
+    _, scaled = fitted_on_events(spark, d)
+    return iforest.score(scaled, iforest.fit(scaled)).select("username", "timestamp", "score")
+
+
+@query("ocsvm_score")
+def _(spark, d):
+    _, scaled = fitted_on_events(spark, d)
+    return ocsvm.score(scaled, ocsvm.fit(scaled)).select("username", "timestamp", "score")
+
+
+@query("autoencoder_score")
+def _(spark, d):
+    _, scaled = fitted_on_events(spark, d)
+    model = autoencoder.fit(scaled, most=2000, epochs=20)
+    return autoencoder.score(scaled, model).select("username", "timestamp", "mse", F.lit(model.threshold).alias("threshold"))
+
+
+@query("ensemble_alerts")
+def _(spark, d):
+    data = scored(spark, d)
+    return alerts.shaped(ensemble.predict(data, bundle.fit(data, CONFIG, epochs=20)), F.lit("2024-01-01 00:00:00").cast("timestamp")).select("severity", "username", "session_ts", "confidence", "votes")
+
+
+@query("simulated_evaluation")
+def _(spark, d):
+    data = baseline.user_zscores(simulate.test_set(spark))
+    return evaluate.report(ensemble.predict(data, trained(spark)))
+
+
+STREAM_COLUMNS = ("timestamp", "username", "hour", "is_night", "is_weekend", "nb_files_accessed", "nb_sensitive_files", "nb_failed_logins", "nb_processes", "bytes_sent", "new_ip", "sensitive_path_access", "process_name", "command_line", "velocity", "entropy_commands", "session_duration_min")
+
+
+@query("stream_sessions", f"WITH {oracle.sessions(LONG)} SELECT {', '.join(STREAM_COLUMNS)} FROM f")
+def _(spark, d):
+    """The stateful plan over the events as a stream, closed by one event of another user far in the future."""
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    folder = storage.fresh(spark, "stream")
+    end = spark.createDataFrame([(None, None, None, "end", None, None)], schema).withColumn("ts", F.lit("2100-01-01").cast("timestamp_ntz"))
+    end.select(*schema.names).write.parquet(f"{folder}/end")
+    read = lambda p, **o: spark.readStream.schema(schema).options(**o).parquet(p)
+    flow = read(d, pathGlobFilter="events.parquet") if not _is_folder(spark, f"{d}/events.parquet") else read(f"{d}/events.parquet")
+    both = raw_events(flow.unionByName(read(f"{folder}/end"))).withColumn("username", F.coalesce("username", F.lit("\x00end")))
+    sink = native.sessions(both, CONFIG, LONG).select(*STREAM_COLUMNS).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    sink.awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _is_folder(spark, path: str) -> bool:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(there).isDirectory()
