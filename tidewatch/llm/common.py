@@ -28,11 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of an Arrow batch at most, so that what a task holds doesn't depend on how long texts are.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch limits to BATCH_ROWS and BATCH_BYTES where they are higher."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = (spark.conf.get(name, None) or "").lower().removesuffix("b")
+        if not now.isdecimal() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 class Scratch:
     """Tables and files of one operator run below the shared folder; rereading them cuts the lineage."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/tidewatch/{what}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:

@@ -43,7 +43,7 @@ from tidewatch.llm.words import BASE, INVERSE, blocks, mix, powers, text_buffers
 
 END_ID = 2
 #: Pieces kept by a worker; the cache starts anew beyond it.
-CACHE = 1_500_000
+CACHE = 600_000
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 64 << 20
 
