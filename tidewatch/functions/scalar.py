@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A numeric zone at the end of a time.
@@ -27,22 +27,24 @@ def whole_number(text: Column) -> Column:
     return F.coalesce(F.when(plain.rlike(r"^[+-]?\d+$"), plain).try_cast("long"), F.lit(0))
 
 
-def iso(text: Column) -> Column:
-    """An ISO-8601 text in the extended form with a numeric zone (UTC if it has none), null where it isn't one."""
-    plain = F.regexp_replace(F.regexp_replace(stripped(text), BASIC, r"$1-$2-$3T$4:$5:$6$7"), "[Zz]$", "+00:00")
-    plain = F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(plain, F.lit("T00:00:00"))).otherwise(plain)
-    plain = F.when(plain.rlike(ZONE), plain).otherwise(F.concat(plain, F.lit("+00:00")))
-    return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}"), plain)
-
-
-def instant(text: Column) -> Column:
-    """The instant of an ISO-8601 text; null where it isn't one."""
-    return iso(text).try_cast("timestamp")
-
-
-def wall_clock(text: Column) -> Column:
-    """The local date and time as written, whatever the zone."""
-    return F.regexp_replace(iso(text), ZONE, "").try_cast("timestamp_ntz")
+def with_times(df: DataFrame, text: str) -> DataFrame:
+    """``df`` with ts_text, ts_utc and ts_local of the ISO-8601 column ``text``; null where it isn't one.
+
+    ts_text is the extended form with a numeric zone (UTC if it has none), ts_utc its
+    instant, ts_local the date and time as written. Each step is a projection of its
+    own, so that no pattern is matched more than once.
+    """
+    t = F.col("ts_text")
+    steps = (
+        F.regexp_replace(stripped(F.col(text)), BASIC, r"$1-$2-$3T$4:$5:$6$7"),
+        F.regexp_replace(t, "[Zz]$", "+00:00"),
+        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(t, F.lit("T00:00:00"))).otherwise(t),
+        F.when(t.rlike(ZONE), t).otherwise(F.concat(t, F.lit("+00:00"))),
+        F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}"), t),
+    )
+    for step in steps:
+        df = df.withColumn("ts_text", step)
+    return df.withColumns({"ts_utc": t.try_cast("timestamp"), "ts_local": F.regexp_replace(t, ZONE, "").try_cast("timestamp_ntz")})
 
 
 def as_instant(local: Column) -> Column:

@@ -58,13 +58,10 @@ def raw_events(alerts: DataFrame) -> DataFrame:
     without a zone is UTC.
     """
     event = "data.win.eventdata."
-    text = scalar.iso(scalar.first_filled(at("timestamp"), F.try_variant_get("alert", "$['@timestamp']", "string")))
     user = scalar.first_filled(at(event + "subjectUserName"), at(event + "targetUserName"), at("data.srcuser"), at("predecoder.user"), F.lit("unknown"))
     flat = alerts.select(
         "_seq",
-        scalar.instant(text).alias("ts_utc"),
-        scalar.wall_clock(text).alias("ts_local"),
-        text.alias("ts_text"),
+        scalar.first_filled(at("timestamp"), F.try_variant_get("alert", "$['@timestamp']", "string")).alias("__time"),
         F.lower(scalar.stripped(user)).alias("username"),
         scalar.stripped(scalar.first_filled(at("data.win.system.eventID"), at("data.id"))).alias("event_id"),
         scalar.first_filled(at("rule.id")).alias("rule_id"),
@@ -73,7 +70,8 @@ def raw_events(alerts: DataFrame) -> DataFrame:
         scalar.first_filled(at(event + "targetFilename"), at(event + "objectName")).alias("file_path"),
         scalar.first_filled(at(event + "image"), at(event + "parentImage"), at("data.process.name")).alias("process_name"),
         scalar.first_filled(at(event + "commandLine")).alias("command_line"),
-        scalar.whole_number(scalar.first_filled(at("data.bytes_sent"))).alias("bytes_sent"),
+        scalar.first_filled(at("data.bytes_sent")).alias("bytes_sent"),
         scalar.first_filled(at(event + "destinationIp")).alias("dst_ip"),
     )
-    return flat.filter("ts_utc is not null").select(*RAW_EVENT.fieldNames())
+    flat = scalar.with_times(flat.filter("__time <> ''"), "__time").filter("ts_utc is not null")
+    return flat.withColumn("bytes_sent", scalar.whole_number(F.col("bytes_sent"))).select(*RAW_EVENT.fieldNames())
