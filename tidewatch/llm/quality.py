@@ -132,7 +132,11 @@ def learn(scratch: common.Scratch, found: DataFrame, labels: DataFrame, max_fit:
     count = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     parts = []
     for label in (1, 0):
-        few = rows.filter(F.col("label") == label).orderBy(F.xxhash64("key"), "x").limit(max_fit).select("x").toArrow().column("x").combine_chunks()
+        bound = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(1 << 30))
+        own = rows.filter(F.col("label") == label)
+        if (n := count.get(label, 0)) > 4 * max_fit:  # thinned first, so that what tasks send doesn't grow with their number
+            own = own.filter(bound < int(2 * max_fit / n * (1 << 30)))
+        few = own.orderBy(bound, "key", "x").limit(max_fit).select("x").toArrow().column("x").combine_chunks()
         parts.append(np.asarray(few.flatten(), np.float64).reshape(len(few), -1) if len(few) else np.zeros((0, len(NAMES))))
     return fit(*parts, count.get(0, 0) / max(1, sum(count.values())))
 

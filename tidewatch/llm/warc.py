@@ -268,8 +268,11 @@ def write(scratch: common.Scratch, pages: DataFrame, folder: str, revisit_from:
     same = scratch.write(same, "repeated")
     if same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         same = F.broadcast(same)
-    few = pages.orderBy(F.xxhash64("page_id"), "page_id").select(F.substring(html, 1, SAMPLE_CHARS).alias("t")).limit(SAMPLES)
-    learned = dictionary([(r.t or "").encode() for r in few.collect()])
+    # about twice as many pages as wanted by a bound on the hash, so that what tasks send doesn't grow with their number
+    bound = F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(1 << 30))
+    n = pages.count()
+    few = pages.filter(bound < int(min(1.0, 2 * SAMPLES / max(n, 1)) * (1 << 30))).select(bound.alias("h"), F.substring(html, 1, SAMPLE_CHARS).alias("t"))
+    learned = dictionary([(r.t or "").encode() for r in few.orderBy("h", "t").limit(SAMPLES).collect()])
     ready = rows.join(same, ["digest", "size"], "left").select("page_id", "url", "html", "digest", "original", "repeated")
     return scratch.write(ready.mapInArrow(writer(folder, learned), MANIFEST), "manifest")
 
