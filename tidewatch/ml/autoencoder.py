@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.ml.sample import least_hashed
+
 MOST_ROWS = 20_000
 #: (name, units; 0 for the latent size, -1 for the input size; ReLU, norm after, dropout after)
 LAYERS = (("enc_1", 64, True, True, 0.2), ("enc_2", 32, True, True, 0.0), ("enc_3", 16, True, False, 0.0), ("latent", 0, False, False, 0.0), ("dec_1", 16, True, False, 0.0), ("dec_2", 32, True, True, 0.2), ("dec_3", 64, True, False, 0.0), ("output", -1, False, False, 0.0))
@@ -127,7 +129,7 @@ def train(x: np.ndarray, latent: int = 4, epochs: int = 200, batch: int = 32, ra
 
 def fit(scaled: DataFrame, latent: int = 4, sigma: float = 3.0, most: int = MOST_ROWS, seed: int = 42, **options) -> Autoencoder:
     """Trained on at most ``most`` rows in a fixed random order; the threshold is mean + sigma * deviation of all rows' errors."""
-    rows = scaled.orderBy(F.xxhash64("scaled", F.lit(seed)), "scaled").limit(most).select("scaled").toPandas()
+    rows = least_hashed(scaled.select("scaled"), most, "scaled", seed=seed).toPandas()
     model = train(np.array(rows["scaled"].tolist(), np.float64), latent, seed=seed, **options)
     e = score(scaled, model).agg(F.avg("mse"), F.stddev_pop("mse")).first()
     model.threshold = float(e[0] + sigma * e[1])

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.ml.sample import least_hashed
+
 MOST_ROWS = 2000
 
 
@@ -64,7 +66,7 @@ def solve(x: np.ndarray, nu: float = 0.05, gamma: float | None = None, tolerance
 
 def fit(scaled: DataFrame, nu: float = 0.05, most: int = MOST_ROWS, seed: int = 42) -> OneClass:
     """Fitted on the ``most`` rows of least seeded hash (all rows, if fewer)."""
-    rows = scaled.orderBy(F.xxhash64("scaled", F.lit(seed)), "scaled").limit(most).select("scaled").toPandas()
+    rows = least_hashed(scaled.select("scaled"), most, "scaled", seed=seed).toPandas()
     return solve(np.array(rows["scaled"].tolist(), np.float64), nu)
 
 
