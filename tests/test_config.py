@@ -7,7 +7,7 @@ def test_defaults_and_merge(tmp_path):
     assert config.load(tmp_path / "none.yaml") == config.Config()
     f = tmp_path / "config" / "config.yaml"
     f.parent.mkdir()
-    f.write_text("wazuh:\n  session_minutes: 15\ndetection:\n  ensemble_threshold: 3\nlogging:\n")
+    f.write_text("collector:\n  session_minutes: 15\ndetection:\n  ensemble_threshold: 3\nlogging:\n")
     got = config.load(start=tmp_path / "config")
     assert (got.input.session_minutes, got.input.alerts_path, got.detection.ensemble_threshold, got.detection.contamination) == (15, config.Input().alerts_path, 3, 0.05)
     f.write_text("")

@@ -20,7 +20,7 @@ class Input:
 class Paths:
     models_dir: str = "models/"
     data_dir: str = "data/"
-    alert_output: str = "/var/log/ueba_alerts.json"
+    alert_output: str = "/var/log/anomaly_alerts.json"
 
 
 @dataclass(frozen=True)
@@ -49,10 +49,6 @@ class Logging:
     level: str = "INFO"
 
 
-#: Section names of a settings file that differ from the field's.
-ALIASES = {"wazuh": "input"}
-
-
 @dataclass(frozen=True)
 class Config:
     input: Input = field(default_factory=Input)
@@ -64,11 +60,16 @@ class Config:
 
 
 def merged(given: dict[str, Any] | None) -> Config:
-    """Defaults with the given sections laid over them; unknown names are refused."""
+    """Defaults with the given sections laid over them.
+
+    A section of another name is taken for the one that has all its settings; what
+    fits none is refused.
+    """
     config = Config()
     for section, values in (given or {}).items():
-        name = ALIASES.get(section, section)
-        if not hasattr(config, name):
+        fitting = [f.name for f in dataclasses.fields(config) if values and all(hasattr(getattr(config, f.name), k) for k in values)]
+        name = section if hasattr(config, section) else next(iter(fitting), None)
+        if name is None:
             raise ValueError(f"unknown section {section!r}")
         try:
             part = dataclasses.replace(getattr(config, name), **(values or {}))

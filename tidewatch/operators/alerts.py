@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.scalar import even
 
+#: Fixed value: the type that readers of the alerts look for.
+TYPE = "ueba_anomaly"
 MODELS = ("isolation_forest", "one_class_svm", "autoencoder")
 
 
@@ -44,7 +46,7 @@ def shaped(scored: DataFrame, now: Column | None = None) -> DataFrame:
     models = [F.col(m).cast(k).alias(m) if m in scored.columns else F.lit(None).cast(k).alias(m) for m, k in kinds.items()]
     return scored.filter("is_anomaly").select(
         stamp.alias("timestamp"),
-        F.lit("ueba_anomaly").alias("type"),
+        F.lit(TYPE).alias("type"),
         severity().alias("severity"),
         F.coalesce("username", F.lit("unknown")).alias("username"),
         F.coalesce("timestamp", F.lit("")).alias("session_ts"),

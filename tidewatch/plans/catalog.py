@@ -172,7 +172,7 @@ def _(spark, d):
 
 
 def describe_sql() -> str:
-    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, count(x) AS count, round(avg(x), 3) AS mean, round(stddev_samp(x), 3) AS std, round(min(x), 3) AS min, round(quantile_cont(x, 0.25), 3) AS q25, round(quantile_cont(x, 0.5), 3) AS q50, round(quantile_cont(x, 0.75), 3) AS q75, round(max(x), 3) AS max FROM (SELECT CAST({c} AS DOUBLE) AS x FROM g)" for c in FEATURES)
+    rows = " UNION ALL ".join(f"SELECT '{c}' AS feature, count(x) AS count, round(avg(x), 3) + 0.0 AS mean, round(stddev_samp(x), 3) AS std, round(min(x), 3) + 0.0 AS min, round(quantile_cont(x, 0.25), 3) + 0.0 AS q25, round(quantile_cont(x, 0.5), 3) + 0.0 AS q50, round(quantile_cont(x, 0.75), 3) + 0.0 AS q75, round(max(x), 3) + 0.0 AS max FROM (SELECT CAST({c} AS DOUBLE) AS x FROM g)" for c in FEATURES)
     return f"WITH {oracle.scored(LONG)} {rows}"
 
 
