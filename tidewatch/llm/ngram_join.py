@@ -204,7 +204,12 @@ def beside_leaders(batches):
             same = (codes == other[:, k]).sum(axis=1)
             near[k] = (same >= BESIDE * SKETCH) & (lead[:, k] != ids)
             stays &= same < CLOSE * SKETCH
-        linked = [lead[r, near[:, r]].tolist() for r in range(len(ids))]
+        # leaders that a set joins are joined by the first such set of the batch; later ones need one of them
+        linked, known = [], set()
+        for r in range(len(ids)):
+            own = tuple(lead[r, near[:, r]].tolist())
+            linked.append(list(own[:1] if own in known else own))
+            known.add(own)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.list_(pa.int64())), pa.array(stays)], ["b", "id", "leaders", "stays"])
 
 
