@@ -197,6 +197,10 @@ def test_shards(spark):
     assert tokenout.read(tokenout.write(scratch(spark), data.limit(0), "file:///nowhere", str(TOKENIZER))).count() == 0
 
 
+def test_urls():
+    assert [common.url(x) for x in ("/a/b", "file:/a/b", "file:///a/b", "hdfs://n/a")] == ["file:///a/b"] * 3 + ["hdfs://n/a"]
+
+
 def test_damaged_shard():
     framed = tokenout.frame(b"abc") + tokenout.frame(b"")
     stream = io.BytesIO(framed)

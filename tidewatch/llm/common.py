@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -13,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of local applications that name none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
@@ -23,8 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="tidewatch-")
+        found = _own[app]
     return found.rstrip("/")
 
 
@@ -40,6 +47,13 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, str(most))
 
 
+def url(folder: str) -> str:
+    """A folder as a URL that pyarrow opens."""
+    if folder.startswith("file:"):
+        return "file:///" + folder.removeprefix("file:").lstrip("/")
+    return folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+
+
 class Scratch:
     """Tables and files of one operator run below the shared folder; rereading them cuts the lineage."""
 

@@ -333,8 +333,7 @@ def encode_to_files(spark: SparkSession, docs: DataFrame, tokenizer: str | None
 
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     scratch = common.Scratch(spark, "tokens")
-    folder = scratch.path("files")
-    return read(write(scratch, docs.select("doc_id", "text"), folder if "://" in folder else f"file://{folder}", str(tokenizer)))
+    return read(write(scratch, docs.select("doc_id", "text"), common.url(scratch.path("files")), str(tokenizer)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,8 +284,7 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = common.Scratch(spark, "warc")
-    folder = scratch.path("archives")
-    manifest = write(scratch, common.table(spark, sf_dir, "pages"), folder if "://" in folder else f"file://{folder}")
+    manifest = write(scratch, common.table(spark, sf_dir, "pages"), common.url(scratch.path("archives")))
     return read(manifest, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
