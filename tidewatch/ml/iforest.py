@@ -93,7 +93,7 @@ def fit(scaled: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42,
     chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: mark(t) < bound) if part < 1 else F.sequence(F.lit(0), F.lit(trees - 1))
     dealt = rows.withColumn("tree", F.explode(chosen)).withColumn("h", mark(F.col("tree")))
 
-    def build(key, group: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["h", "i"]).head(sample)
         rng = np.random.default_rng((seed, int(key[0])))
         out = pd.DataFrame(grow(np.array(group["scaled"].tolist(), np.float64), rng), columns=COLUMNS[1:])

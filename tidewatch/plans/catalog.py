@@ -15,6 +15,7 @@ from tidewatch.operators import alerts, baseline, evaluate, explore, sessions
 from tidewatch.operators.ordering import with_sequence
 from tidewatch.plans import oracle
 from tidewatch.schema import DATASET, FEATURES
+from tidewatch.sources import alerts as alert_source
 from tidewatch.sources import simulate, tables
 from tidewatch.sources.telemetry import raw_events
 from tidewatch.streaming import native
@@ -94,6 +95,17 @@ def _(spark, d):
     return events(spark, d).groupBy(kind.alias("class")).agg(F.count("*").alias("n"))
 
 
+@query("alert_extraction", f"WITH {oracle.RAW} SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS ts_text, {', '.join(RAW_COLUMNS[1:])} FROM raw")
+def _(spark, d):
+    """Events written as nested alert lines, read and flattened again."""
+    rows = events(spark, d)
+    win = F.struct(F.struct(F.col("event_id").alias("eventID")).alias("system"), F.struct(F.upper("username").alias("targetUserName"), F.col("src_ip").alias("ipAddress"), F.col("file_path").alias("targetFilename"), F.col("process_name").alias("image"), F.col("command_line").alias("commandLine")).alias("eventdata"))
+    alert = F.struct(F.regexp_replace("ts_text", r"\+00:00$", "Z").alias("timestamp"), F.struct(win.alias("win"), "bytes_sent").alias("data"))
+    path = storage.fresh(spark, "alerts")
+    rows.select(F.to_json(alert).alias("value")).write.text(path)
+    return alert_source.raw_events(alert_source.load(spark, path)).select("ts_text", *RAW_COLUMNS[1:])
+
+
 def bounds(spark, d, minutes):
     s = found(spark, d, minutes)
     minutes_long = even(F.greatest((F.unix_micros("last_ts") - F.unix_micros("start_ts")) / 1e6 / 60, F.lit(1.0)), 2)
