@@ -40,7 +40,7 @@ from tidewatch.llm import cells, common
 from tidewatch.llm.words import Words, mix, words
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
-SKETCH, LIMIT, DEPTH = 64, 256, 4
+SKETCH, LIMIT, DEPTH = 64, 512, 4
 LOOSE = 0.6
 #: Leaders of a bucket that is too large, and the shares of equal places from which a set is linked to one, and leaves.
 LEADERS, BESIDE, CLOSE = 4, 0.5, 0.875
@@ -192,7 +192,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def beside_leaders(batches):
-    """Arrow function: (b, id, sketch, leader ids, leader sketches) to b, id, the leaders it is linked to, and whether it stays."""
+    """Arrow function: (b, id, sketch, leader ids, leader sketches) to b, id, sketch, the leaders it is linked to, and whether it stays."""
     for batch in batches:
         codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(-1, SKETCH)
         ids = batch.column(1).to_numpy(zero_copy_only=False)
@@ -210,36 +210,44 @@ def beside_leaders(batches):
             own = tuple(lead[r, near[:, r]].tolist())
             linked.append(list(own[:1] if own in known else own))
             known.add(own)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.list_(pa.int64())), pa.array(stays)], ["b", "id", "leaders", "stays"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(linked, pa.list_(pa.int64())), pa.array(stays)], ["b", "id", "sketch", "leaders", "stays"])
 
 
 def buckets(scratch: common.Scratch, nodes: DataFrame, limit: int = LIMIT, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
-    """Members (b, id, n) of the buckets to compare, from ``nodes(id, keys, sketch)``, n the bucket's size; and edges (a, b) to leaders."""
+    """Members (b, id, n, sketch) of the buckets to compare, from ``nodes(id, keys, sketch)``, n the bucket's size; and edges (a, b) to leaders."""
+    # rows of the first level are many and have no sketch; later levels carry it along
     level = nodes.select("id", F.explode("keys").alias("b"))
     out, edges = None, scratch.spark.createDataFrame([], "a bigint, b bigint")
     for d in range(depth + 1):
-        sizes = level.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("y")).filter("n > 1")
-        sizes = scratch.write(sizes.groupBy("n", "x", "y").agg(F.min("b").alias("b")).select("b", "n"), f"sizes-{d}")
-        done = sizes.filter(F.col("n") <= limit) if d < depth else sizes
-        got = level.join(done, "b")
+        first = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "sketch")).alias(f"l{k}") for k in range(LEADERS)]
+        lead = [F.array(*[f"l{k}.id" for k in range(LEADERS)]).alias("lead"), F.array(*[f"l{k}.sketch" for k in range(LEADERS)]).alias("codes")]
+        # leaders come with the sizes where the sketch is at hand, which saves a join
+        with_leaders = ["lead", "codes"] if d else []
+        sizes = level.groupBy("b").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(5))).alias("y"), *(first if d else [])).filter("n > 1")
+        sizes = sizes.select("b", "n", "x", "y", *([F.when(F.col("n") > limit, c).alias(name) for c, name in zip(lead, with_leaders, strict=True)] if d else []))
+        sizes = scratch.write(sizes.groupBy("n", "x", "y").agg(F.min(F.struct("b", *with_leaders)).alias("m")).select("m.*", "n"), f"sizes-{d}")
+        inside = level.join(sizes, "b")
+        if not d:
+            inside = inside.join(nodes.select("id", "sketch"), "id")
+        inside = scratch.write(inside.select("b", "id", "n", "sketch", *with_leaders), f"inside-{d}")
+        got = (inside.filter(F.col("n") <= limit) if d < depth else inside).select("b", "id", "n", "sketch")
         out = got if out is None else out.unionByName(got)
-        large = sizes.filter(F.col("n") > limit)
+        large = inside.filter(F.col("n") > limit)
         if d == depth or large.isEmpty():
             break
-        inside = scratch.write(level.join(large, "b").select("id", "b").join(nodes.select("id", "sketch"), "id"), f"inside-{d}")
-        first = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id", "sketch")).alias(f"l{k}") for k in range(LEADERS)]
-        leaders = inside.groupBy("b").agg(*first).select("b", F.array(*[f"l{k}.id" for k in range(LEADERS)]).alias("lead"), F.array(*[f"l{k}.sketch" for k in range(LEADERS)]).alias("codes"))
-        beside = inside.select("b", "id", "sketch").join(leaders, "b").select("b", "id", "sketch", "lead", "codes")
-        beside = scratch.write(beside.mapInArrow(beside_leaders, "b bigint, id bigint, leaders array<bigint>, stays boolean"), f"beside-{d}")
+        if not d:
+            large = large.join(large.groupBy("b").agg(*first).select("b", *lead), "b")
+        beside = large.select("b", "id", "sketch", "lead", "codes")
+        beside = scratch.write(beside.mapInArrow(beside_leaders, "b bigint, id bigint, sketch binary, leaders array<bigint>, stays boolean"), f"beside-{d}")
         edges = edges.unionByName(beside.select(F.col("id").alias("a"), F.explode("leaders").alias("b")).distinct())
-        left = beside.filter("stays").select("b", "id").join(nodes.select("id", "sketch"), "id")
 
         def child(salt: int, d: int = d):
             place = F.pmod(F.xxhash64("b", F.lit(d), F.lit(salt)), F.lit(SKETCH)).cast("int")
             return F.xxhash64("b", place, F.substring("sketch", place * 2 + 1, F.lit(2)))
 
         again = F.pmod(F.xxhash64("b", F.lit(d), F.lit(3)), F.lit(4)) == 0
-        level = scratch.write(left.select("id", F.explode(F.when(again, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("b")).distinct(), f"level-{d + 1}")
+        level = beside.filter("stays").select("id", "sketch", F.explode(F.when(again, F.array(child(1), child(2))).otherwise(F.array(child(1)))).alias("b"))
+        level = scratch.write(level.dropDuplicates(["id", "b"]), f"level-{d + 1}")
     return out, edges
 
 
@@ -248,7 +256,7 @@ def classes(scratch: common.Scratch, rows: DataFrame, texts: DataFrame, threshol
     groups = rows.filter("fp is not null").groupBy("fp").agg(F.min("uid").alias("id"), F.count("*").alias("copies"), F.min("key").alias("least"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.min(F.struct("uid", "key"))["key"].alias("key"))
     groups = scratch.write(groups, "groups")
     got, beside = buckets(scratch, groups.select("id", "keys", "sketch"))
-    near = cells.dealt(got, cells.blocks_for(F.col("n"))).join(groups.select("id", "sketch"), "id")
+    near = cells.dealt(got, cells.blocks_for(F.col("n"))).drop("n")
     loose_edges = scratch.write(cells.compared(near, alike_sketches(loose)).select("a", "b").unionByName(beside).distinct(), "loose")
     found = scratch.write(common.components(scratch, loose_edges, "loose-parts"), "candidates")
     need = scratch.write(found.join(groups.select("id", "key", "fp", "copies"), "id"), "need")
