@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidewatch.config import Config
 from tidewatch.ml import autoencoder, bundle, ensemble, iforest, ocsvm, scaler
 from tidewatch.operators import alerts, baseline, evaluate
+from tidewatch.plans import catalog
 from tidewatch.schema import FEATURES
 from tidewatch.sources import simulate, tables
 
@@ -104,3 +105,17 @@ def test_csv_round_trip(spark, train, tmp_path):
     data.drop("hour").write.option("header", True).csv(str(tmp_path / "e"))
     with pytest.raises(ValueError, match="hour"):
         tables.read_csv(spark, str(tmp_path / "e"))
+
+
+@pytest.mark.parametrize("name,size", [("autoencoder_score", "sf0.01"), ("ensemble_alerts", "sf0.001")])
+def test_queries_train_in_full(spark, monkeypatch, name, size):
+    seen, real = [], autoencoder.train
+
+    def train(x, *args, **options):
+        seen.append((len(x), options.get("epochs", 200)))
+        return real(x, *args, **options | {"epochs": 1})
+
+    monkeypatch.setattr(autoencoder, "train", train)
+    sessions = catalog.scored(spark, f"/root/testdata/{size}").count()
+    catalog.QUERIES[name](spark, f"/root/testdata/{size}")
+    assert seen == [(sessions, 200)] and (size != "sf0.01" or sessions > 2000)

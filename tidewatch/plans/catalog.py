@@ -355,14 +355,14 @@ def _(spark, d):
 @query("autoencoder_score")
 def _(spark, d):
     _, scaled = fitted_on_events(spark, d)
-    model = autoencoder.fit(scaled, most=2000, epochs=20)
+    model = autoencoder.fit(scaled)
     return autoencoder.score(scaled, model).select("username", "timestamp", "mse", F.lit(model.threshold).alias("threshold"))
 
 
 @query("ensemble_alerts")
 def _(spark, d):
     data = scored(spark, d)
-    return alerts.shaped(ensemble.predict(data, bundle.fit(data, CONFIG, epochs=20)), F.lit("2024-01-01 00:00:00").cast("timestamp")).select("severity", "username", "session_ts", "confidence", "votes")
+    return alerts.shaped(ensemble.predict(data, bundle.fit(data, CONFIG)), F.lit("2024-01-01 00:00:00").cast("timestamp")).select("severity", "username", "session_ts", "confidence", "votes")
 
 
 @query("simulated_evaluation")
