@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,31 @@ def test_distrust_spreads(spark):
     assert got[10][3] == "block" and {got[k][3] for k in (11, 12, 13)} == {"allow"}
 
 
+def ranks(n, edges, start, damping=0.85):
+    """Ranks of a small graph by solving the linear system."""
+    out = np.zeros((n, n))
+    for a, b in edges:
+        out[b, a] += 1
+    out /= np.maximum(out.sum(axis=0), 1)
+    return np.linalg.solve(np.eye(n) - damping * out, (1 - damping) * start)
+
+
+def test_distrust_is_settled(spark):
+    size, others = 12, 187
+    names = ["bad.net", *(f"h{k}.org" for k in range(1, size + 1)), *(f"o{k}.org" for k in range(others))]
+    link = [(k, k - 1) for k in range(1, size + 1)] + [(1, 2)]
+    to = {a: "".join(f"<a href='//{names[b]}/'>x</a>" for c, b in link if c == a) for a, _ in link}
+    rows = [(k, f"http://{name}/{'es/' if k == 0 else 'p'}", to.get(k)) for k, name in enumerate(names)]
+    got = {r["__host"]: r for r in url_filter.judge(common.Scratch(spark, "t"), pages(spark, rows)).collect()}
+    want = ranks(len(names), [(b, a) for a, b in link], np.eye(len(names))[0])
+    far = [got[f"h{k}.org"]["__verdict"] for k in range(9, size + 1)]
+    assert far == ["block" if w * len(names) >= url_filter.LEAST else "allow" for w in want[9 : size + 1]] and "block" in far
+    assert max(abs(got[h]["__distrust"] - w) for h, w in zip(names, want, strict=True)) * len(names) <= url_filter.TOLERANCE
+    with pytest.raises(RuntimeError):
+        links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n bigint")
+        url_filter.spread(common.Scratch(spark, "t"), links, spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, mass double"), 2, most=2)
+
+
 def test_mixing_odd_sources(spark):
     rows = [(k, "w " * n, s) for k, (n, s) in enumerate([(5, "a"), (0, "a"), (7, "b"), (7, None), (90, "c"), (3, "é"), (1, "Z")])] + [(6, "w", "Z"), (None, None, "a"), (100, "", "empty")] + [(k, "w w w", "c") for k in range(200, 400)]
     data = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("size", F.lit("clash"))

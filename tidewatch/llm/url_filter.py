@@ -6,13 +6,21 @@ PageRank along host edges from trusted hosts, distrust spreads against them from
 blocked hosts (who links to bad hosts is suspect). A host is blocked if its distrust
 is at least ``LEAST`` times that of an average host, and above its trust.
 
+Ranks are spread until they are settled: as each step shrinks the summed change by
+``DAMPING``, what is still to come is at most change * DAMPING / (1 - DAMPING). Steps
+end when that, for each kind and in units of an average host, is ``TOLERANCE`` or
+less, so no host's distrust is off by more than that against ``LEAST``, whatever the
+number of hosts. More than ``MOST_STEPS`` steps are an error.
+
 Seeds come from the rules: a host is trusted if more of its pages are allowed by
 rules than blocked, and blocked if at least half of all its pages are blocked.
 Edges join the hosts of pages to those of their absolute links, weighted by number,
 and are summed before anything is joined; links within a host don't count.
 
 Everything is SQL expressions and joins. Rules are literals of the plan and limited
-to ``MOST_RULES``. Ranks after each step are written to the shared folder.
+to ``MOST_RULES``. Ranks after each step are written to the shared folder. The DuckDB
+text takes ``ORACLE_STEPS`` steps: it states the result where the links' ranks are
+settled by then to the verdict, as without links between hosts.
 
 Defined cases: a null url, or one without ://, has empty host and path and, as no
 rule fits it, the verdict of the empty host; a null html has no links; rows that
@@ -28,7 +36,9 @@ from tidewatch.llm import common
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 MOST_RULES = 10_000
-DAMPING, STEPS, LEAST = 0.85, 8, 0.2
+DAMPING, LEAST = 0.85, 0.2
+TOLERANCE, MOST_STEPS = 1e-3, 400
+ORACLE_STEPS = 8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)<a\s[^<>]*?href\s*=\s*["']?(?:https?:)?//([^/"'?#<>\s]+)"""
@@ -71,19 +81,25 @@ def seeds(judged: DataFrame) -> DataFrame:
     return found.join(found.groupBy("kind").agg(F.count("*").alias("k")), "kind").select("kind", "host", (F.lit(1.0) / F.col("k")).alias("mass"))
 
 
-def spread(scratch: common.Scratch, links: DataFrame, start: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """Ranks (kind, host, mass) after ``steps``; mass at hosts without links is given up."""
+def spread(scratch: common.Scratch, links: DataFrame, start: DataFrame, hosts: int, damping: float = DAMPING, tolerance: float = TOLERANCE, most: int = MOST_STEPS) -> DataFrame:
+    """Settled ranks (kind, host, mass), to ``tolerance`` average hosts of ``hosts``; mass at hosts without links is given up."""
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     total = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     flow = scratch.write(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")), "flow")
-    base = start.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"))
+    none = F.lit(0.0)
+    base = start.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"), none.alias("was"))
     ranks = start
-    for k in range(steps):
-        moved = ranks.withColumnRenamed("host", "src").join(flow, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        ranks = scratch.write(moved.unionByName(base).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), f"ranks-{k}")
+    for k in range(most):
+        moved = ranks.withColumnRenamed("host", "src").join(flow, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"), none.alias("was"))
+        before = ranks.select("kind", "host", none.alias("mass"), F.col("mass").alias("was"))
+        both = scratch.write(moved.unionByName(base).unionByName(before).groupBy("kind", "host").agg(F.sum("mass").alias("mass"), F.sum("was").alias("was")), f"ranks-{k}")
         if k:
             scratch.drop(f"ranks-{k - 1}")
-    return ranks
+        ranks = both.select("kind", "host", "mass")
+        change = both.groupBy("kind").agg(F.sum(F.abs(F.col("mass") - F.col("was"))).alias("c")).agg(F.max("c")).first()[0] or 0.0
+        if change * damping / (1 - damping) * hosts <= tolerance:
+            return ranks
+    raise RuntimeError(f"ranks of hosts are not settled after {most} steps: {change}")
 
 
 def judge(scratch: common.Scratch, pages: DataFrame, rules=RULES, least: float = LEAST) -> DataFrame:
@@ -93,8 +109,8 @@ def judge(scratch: common.Scratch, pages: DataFrame, rules=RULES, least: float =
     slim = scratch.write(slim.withColumn("fit", fitting(F.col("host"), F.col("path"), rules)), "slim")
     links = scratch.write(edges(pages.select(host_of(F.col("url")).alias("host"), "html")), "edges")
     start = scratch.write(seeds(slim.select("host", F.col("fit.verdict").alias("verdict"))), "seeds")
-    ranks = spread(scratch, links, start)
     hosts = slim.select("host").distinct().unionByName(links.select(F.col("src").alias("host"))).unionByName(links.select(F.col("dst").alias("host"))).filter("host <> ''").distinct().count()
+    ranks = spread(scratch, links, start, hosts)
     wide = ranks.groupBy("host").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")])
     bad = (F.col("distrust") * hosts >= least) & (F.col("distrust") > F.col("trust"))
     wide = scratch.write(wide.withColumn("bad", bad), "hosts")
@@ -115,7 +131,7 @@ def _oracle() -> str:
     steps = "".join(f""",
 r{k + 1} AS (SELECT kind, host, sum(mass) AS mass FROM (
   SELECT r.kind, f.dst AS host, r.mass * f.share * {DAMPING} AS mass FROM r{k} r JOIN flow f ON r.kind = f.kind AND r.host = f.src
-  UNION ALL SELECT kind, host, mass * (1 - {DAMPING}) FROM r0) GROUP BY ALL)""" for k in range(STEPS))
+  UNION ALL SELECT kind, host, mass * (1 - {DAMPING}) FROM r0) GROUP BY ALL)""" for k in range(ORACLE_STEPS))
     return rf"""
 WITH u AS (SELECT row_number() OVER () AS rid, page_id, coalesce(html, '') AS html,
   translate(regexp_extract(coalesce(url, ''), '{PARTS}', 1), '{UPPER}', '{LOWER}') AS host,
@@ -132,7 +148,7 @@ e AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst AND src <> '' GROUP
 b AS (SELECT 'trust' AS kind, src, dst, n FROM e UNION ALL SELECT 'distrust', dst, src, n FROM e),
 flow AS (SELECT kind, src, dst, n::DOUBLE / sum(n) OVER (PARTITION BY kind, src) AS share FROM b){steps},
 hosts AS (SELECT count(*) AS n FROM (SELECT host FROM u UNION SELECT src FROM e UNION SELECT dst FROM e) WHERE host <> ''),
-w AS (SELECT host, coalesce(sum(mass) FILTER (WHERE kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) AS d FROM r{STEPS} GROUP BY host)
+w AS (SELECT host, coalesce(sum(mass) FILTER (WHERE kind = 'trust'), 0) AS t, coalesce(sum(mass) FILTER (WHERE kind = 'distrust'), 0) AS d FROM r{ORACLE_STEPS} GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(v, CASE WHEN d * (SELECT n FROM hosts) >= {LEAST} AND d > t THEN 'block' ELSE 'allow' END) AS verdict
 FROM j LEFT JOIN w ON j.host = w.host
 """
