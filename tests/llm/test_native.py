@@ -71,6 +71,25 @@ def test_random_strings(spark):
     assert [r["n"] for r in rows] == [0] * len(good) + [1] * len(bad)
 
 
+def test_short_random_strings(spark):
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    tokens = ["".join(rng.choice(letters) for _ in range(n)) + "zQ" for n in range(14) for _ in range(20)] + ["getUserName2", "MAX_COUNT", "qQxZjX", "zQ7", "Report"]
+    weights = secrets.train(secrets.samples(spark))
+
+    def passes(t):
+        codes = [secrets.ALPHABET.index(c) + 1 for c in t]
+        total = sum(weights[a * secrets.SYMBOLS + b] for a, b in zip(codes, codes[1:], strict=False))
+        return total >= secrets.TOTAL and total >= secrets.EACH * len(t)
+
+    rows = secrets.find(docs(spark, [f"see {t} here" for t in tokens])).select("doc_id", F.size("all").alias("n")).collect()
+    want = {k: int(passes(t)) for k, t in enumerate(tokens)}
+    assert {r["doc_id"]: r["n"] for r in rows} == want
+    lengths = {len(tokens[k]) for k, n in want.items() if n}
+    assert min(lengths) < 8 and set(range(8, 16)) <= lengths and not any(list(want.values())[-2:])
+    assert secrets.shortest(weights) <= min(lengths) and secrets.shortest(weights * 0) == secrets.ALWAYS
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id bigint, url string, html string")
 

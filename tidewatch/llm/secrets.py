@@ -3,7 +3,9 @@
 Two first-order models over ``ALPHABET`` are trained from labelled samples, one of
 random strings and one of ordinary identifiers. A token outside the base spans is a
 secret if the log-likelihood ratio of the models over its characters is at least
-``TOTAL`` and at least ``EACH`` for each character.
+``TOTAL`` and at least ``EACH`` for each character. Tokens have a letter, and an
+upper-case letter or a digit; any length is judged, but those too short to reach the
+thresholds under the models (see ``shortest``) aren't proposed.
 
 Defined cases: a null text is empty and has no spans; rows that repeat an id are
 judged one by one; an empty table gives no rows; characters outside the alphabet
@@ -29,8 +31,10 @@ PATTERNS = {
     "assign": r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
     "access": r"AKIA[A-Z0-9]++",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
-    "random": r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])(?=[a-z+/_=-]*+[0-9A-Z])[A-Za-z0-9+/_=-]{16,}+",
+    "random": r"(?<![A-Za-z0-9+/_=-])(?=[0-9+/_=-]*+[A-Za-z])(?=[a-z+/_=-]*+[0-9A-Z])[A-Za-z0-9+/_=-]",  # times shortest() or more
 }
+#: From this length on tokens are proposed whatever the models.
+ALWAYS = 16
 #: Words of which ordinary identifiers are made in the default samples.
 WORDS = """account action address amount array batch buffer build cache client code column command config connection content
 context count create current customer data default delete device document driver element engine error event executor field
@@ -81,6 +85,18 @@ def train(labelled: DataFrame) -> np.ndarray:
     return (logs[1] - logs[0]).ravel()
 
 
+def shortest(weights: np.ndarray) -> int:
+    """The least length at which some token reaches both thresholds, ``ALWAYS`` at most: no shorter token can be a secret."""
+    use = [k for k, c in enumerate(ALPHABET, 1) if c != "."]  # what PATTERNS["random"] matches
+    pair = weights.reshape(SYMBOLS, SYMBOLS)[np.ix_(use, use)]
+    best = np.zeros(len(use))  # by last symbol
+    for n in range(2, ALWAYS):
+        best = (best[:, None] + pair).max(axis=0)
+        if best.max() >= max(TOTAL, EACH * n) - 1e-9:
+            return n
+    return ALWAYS
+
+
 def ratio(value: Column, model: Column) -> Column:
     """Log-likelihood ratio of a text under ``model``."""
     first = F.struct(F.lit(-1).alias("at"), F.lit(0.0).alias("sum"))
@@ -97,13 +113,14 @@ def find(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None)
     """``docs`` without its text, with ``base`` and ``all``: arrays of (start, place, kind, end, value, score), in order."""
     weights = train(labelled if labelled is not None else samples(docs.sparkSession))
     body = F.col(text)
+    patterns = PATTERNS | {"random": f"{PATTERNS['random']}{{{shortest(weights)},}}+"}
     may = {
         "assign": body.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
         "access": body.contains("AKIA"),
         "hex": body.rlike("[0-9a-f]{24}"),
-        "random": body.rlike(PATTERNS["random"]),
+        "random": body.rlike(patterns["random"]),
     }
-    found = spans.located(docs, text, {k: (PATTERNS[k], may[k]) for k in PATTERNS})
+    found = spans.located(docs, text, {k: (patterns[k], may[k]) for k in patterns})
     checks = {
         "assign": lambda v: F.length(F.regexp_extract(v, r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", 1)) >= 6,
         "access": lambda v: F.length(v) >= 20,
