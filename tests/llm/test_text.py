@@ -159,6 +159,30 @@ def test_quality(spark):
     assert quality.keep(scratch(spark), extra.limit(0), labels).count() == 0
 
 
+def test_quality_cut_takes_all_rows(spark):
+    rng = np.random.default_rng(4)
+    n, width = 600, len(quality.NAMES)
+    label = (rng.random(n) < 0.7).astype(int)
+    x = (rng.normal(size=(n, width)) + label[:, None] * rng.random(width)).astype(np.float32)
+    found = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "key bigint, x array<float>")
+    labels = spark.createDataFrame([(k, int(v)) for k, v in enumerate(label)], "key bigint, label int")
+    model = quality.learn(scratch(spark), found, labels, max_fit=20)
+    kept = [r["key"] for r in found.filter(~quality.held_out(F.col("key"))).select("key").collect()]
+    s, bad = np.sort(((x[kept].astype(np.float64) - model.mean) / model.scale) @ model.weights), int((label[kept] == 0).sum())
+    assert 20 < bad < len(kept) - 20 and model.cut == pytest.approx((s[bad - 1] + s[bad]) / 2, abs=1e-9)
+    assert (s < model.cut).sum() == bad
+
+
+def test_ranked(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BINS", 4)
+    monkeypatch.setattr(quality, "FEW", 3)
+    rng = np.random.default_rng(5)
+    for values in (np.round(rng.normal(size=80), 1).tolist(), [1.0] * 30, [0.0, 5e-324] * 9, [-1e300, *rng.normal(size=20).tolist(), 1e300]):
+        df = spark.createDataFrame([(v,) for v in values], "s double").coalesce(1).persist()
+        for rank in (0, len(values) // 3, len(values) - 1):
+            assert quality.ranked(df, rank) == sorted(values)[rank]
+
+
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
 

@@ -3,11 +3,13 @@
 A document of label 1 is preferred to one of label 0. The weight vector maximises
 the likelihood ``sigmoid(w . (x1 - x0))`` of such pairs, with x the shape of the
 text alone: rates of characters, words and repeats. The cut is the quantile of the
-training scores that leaves below it the share of label 0; scores are mapped to
-0..1 so that the cut lies at ``CUT``.
+scores of all labelled training rows that leaves below it the share of label 0;
+scores are mapped to 0..1 so that the cut lies at ``CUT``.
 
 Features come from one scan in Arrow batches. The fit uses at most ``MAX_FIT`` rows
-of each label, those with the least hash of their id, and runs on the driver.
+of each label, those with the least hash of their id, and runs on the driver. The
+cut takes every labelled training row: they are scored in Spark, and histograms
+narrow the range of the cut until at most ``FEW`` different scores are sent.
 
 Defined cases: a null or empty text has all-zero features and is scored like any
 other; labels that repeat a doc_id are averaged, and 0.5 or more is 1; null labels
@@ -30,6 +32,7 @@ from tidewatch.llm.words import blocks, text_buffers, words_of
 
 MAX_FIT, PAIRS, RIDGE, SEED = 10_000, 100_000, 1.0, 11
 CUT = 0.7
+BINS, FEW = 4096, 4096
 
 PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 NAMES = ["words", "word_length", "distinct", "repeats", "short", "long", "line_words", "line_repeats", "upper", "lower", "digit", "newline", "blank", "wide", *(f"char_{c}" for c in PUNCTUATION)]
@@ -88,15 +91,17 @@ class Model:
     cut: float
     constant: float | None = None
 
+    def raw(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) / self.scale) @ self.weights
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        raw = ((x - self.mean) / self.scale) @ self.weights
-        return 1 / (1 + np.exp(-np.clip(raw - self.cut + np.log(CUT / (1 - CUT)), -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.raw(x) - self.cut + np.log(CUT / (1 - CUT)), -500, 500)))
 
 
-def fit(good: np.ndarray, bad: np.ndarray, share_bad: float, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = SEED) -> Model:
-    """Weights from feature rows of label 1 and of label 0, by Newton steps on the pair loss."""
+def fit(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE, seed: int = SEED) -> Model:
+    """Weights from feature rows of label 1 and of label 0, by Newton steps on the pair loss; the cut is left at 0."""
     if not len(good) or not len(bad):
         return Model(np.zeros(0), np.ones(0), np.zeros(0), 0.0, 0.0 if len(bad) else 1.0)
     both = np.concatenate((good, bad))
@@ -113,12 +118,43 @@ def fit(good: np.ndarray, bad: np.ndarray, share_bad: float, pairs: int = PAIRS,
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    s = np.concatenate((good @ w, bad @ w))
-    weight = np.concatenate((np.full(len(good), (1 - share_bad) / len(good)), np.full(len(bad), share_bad / len(bad))))
-    order = np.argsort(s)
-    at = int(np.searchsorted(np.cumsum(weight[order]), share_bad - 1e-12))
-    cut = (s[order][at] + s[order][min(at + 1, len(s) - 1)]) / 2
-    return Model(mean, scale, w, float(cut))
+    return Model(mean, scale, w, 0.0)
+
+
+def ranked(values: DataFrame, rank: int) -> float:
+    """The value of 0-based ``rank`` in the order of ``values(s)``, finite doubles; exact.
+
+    Each pass counts the values of a range in ``BINS`` bins and goes on in the one that
+    holds the rank, until ``FEW`` different values, or those of one point, are left.
+    """
+    low, high, n = values.agg(F.min("s"), F.max("s"), F.count("*")).first()
+    below = 0  # values under the range
+    while low < high and n > FEW:
+        width = (high - low) / BINS
+        place = F.least(F.floor((F.col("s") - low) / width), F.lit(BINS - 1)) if width > 0 else F.when(F.col("s") > low, 1).otherwise(0)
+        bins = values.filter(F.col("s").between(low, high)).groupBy(place.alias("b")).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("b").collect()
+        for r in bins:
+            if below + r["n"] > rank:
+                break
+            below += r["n"]
+        low, high, n = r["low"], r["high"], r["n"]
+    for r in values.filter(F.col("s").between(low, high)).groupBy("s").count().orderBy("s").collect() if low < high else []:
+        if below + r["count"] > rank:
+            return r["s"]
+        below += r["count"]
+    return low
+
+
+def cut_of(scratch: common.Scratch, rows: DataFrame, model: Model, n_bad: int, n: int) -> float:
+    """Halfway between the scores of ranks ``n_bad`` and ``n_bad + 1`` among the ``n`` of ``rows(x)``."""
+
+    def raw(batches):
+        for batch in batches:
+            x = np.asarray(batch.column(0).flatten(), np.float64).reshape(batch.num_rows, len(NAMES))
+            yield pa.RecordBatch.from_arrays([pa.array(model.raw(x))], ["s"])
+
+    values = scratch.write(rows.select("x").mapInArrow(raw, "s double"), "raw")
+    return (ranked(values, n_bad - 1) + ranked(values, min(n_bad, n - 1))) / 2
 
 
 def held_out(key: Column) -> Column:
@@ -138,7 +174,10 @@ def learn(scratch: common.Scratch, found: DataFrame, labels: DataFrame, max_fit:
             own = own.filter(bound < int(2 * max_fit / n * (1 << 30)))
         few = own.orderBy(bound, "key", "x").limit(max_fit).select("x").toArrow().column("x").combine_chunks()
         parts.append(np.asarray(few.flatten(), np.float64).reshape(len(few), -1) if len(few) else np.zeros((0, len(NAMES))))
-    return fit(*parts, count.get(0, 0) / max(1, sum(count.values())))
+    model = fit(*parts)
+    if model.constant is None:
+        model.cut = cut_of(scratch, rows, model, count[0], sum(count.values()))
+    return model
 
 
 def apply(model: Model):
