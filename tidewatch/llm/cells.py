@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm import common
+
 BLOCK = 256
 
 
@@ -114,4 +116,4 @@ def compared(rows: DataFrame, likeness: Callable, weight: str | None = None) ->
     first = ["b", "ci", "cj"]
     placed = rows.select(*first, *[c for c in rows.columns if c not in first])
     placed = placed.repartition(*first).sortWithinPartitions(*first)
-    return placed.mapInArrow(run, OUT)
+    return placed.mapInArrow(common.tidy(run), OUT)

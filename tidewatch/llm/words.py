@@ -3,7 +3,9 @@
 A word is a run of ASCII letters and digits and of characters outside ASCII, with
 A-Z lower-cased. UTF-8 keeps every byte of a character outside ASCII at 128 or
 above, so words are found on bytes. Texts are handled in blocks of about
-``BLOCK`` bytes (a longer text is a block of its own), which bounds memory.
+``BLOCK`` bytes. A longer text is a block of its own; its words are found part by
+part, so that besides the text about 4 bytes are held for each of its bytes (24 for
+each word), and n-grams add as much again for the time they are used.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -89,12 +91,15 @@ class Words:
         bounds = np.concatenate(([0], np.cumsum(counts)))
         if total <= 0 or not bounds[-1]:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), bounds
-        at = np.repeat(self.bounds[:-1] - bounds[:-1], counts) + np.arange(bounds[-1])
         if n == 1:
-            return self.hashes[at], at, bounds
-        sums = np.zeros(len(self.hashes) + 1, np.uint64)
-        np.cumsum(self.hashes * powers(BASE, len(self.hashes)), out=sums[1:])
-        return mix((sums[at + n] - sums[at]) * powers(INVERSE, len(self.hashes) + 1)[at] + np.uint64(n)), at, bounds
+            out = self.hashes
+        else:
+            out = self.hashes[:total].copy()
+            for k in range(1, n):
+                out += self.hashes[k : total + k] * np.uint64(pow(BASE, k, 1 << 64))
+            out = mix(out + np.uint64(n))
+        at = np.repeat(self.bounds[:-1] - bounds[:-1], counts) + np.arange(bounds[-1])
+        return (out if len(at) == len(out) else out[at]), at, bounds
 
     def text(self, first: int, last: int) -> str:
         """Words first to last, joined by blanks."""
@@ -104,12 +109,40 @@ class Words:
 def words(column: pa.Array, size: int = BLOCK) -> Iterator[Words]:
     offsets, data = text_buffers(column)
     for first, last in blocks(offsets, size):
-        yield words_of(offsets[first : last + 1], data, first, last)
+        yield words_of(offsets[first : last + 1], data, first, last, size)
+
+
+def parts(raw: np.ndarray, cut: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``size`` bytes that together are ``raw``, each but the last ending after a byte that ``cut`` marks (by value); a run without such a byte isn't cut."""
+    at = 0
+    while at < len(raw):
+        end = at + size
+        if end < len(raw):
+            back = np.flatnonzero(cut[raw[at:end]])
+            if len(back):
+                end = at + int(back[-1]) + 1
+            else:
+                while end < len(raw) and not cut[raw[end - 1]]:
+                    ahead = np.flatnonzero(cut[raw[end : end + size]])
+                    end = end + int(ahead[0]) + 1 if len(ahead) else min(end + size, len(raw))
+        end = min(end, len(raw))
+        yield at, end
+        at = end
+
+
+def words_of(offsets: np.ndarray, data: np.ndarray, first: int, last: int, size: int = BLOCK) -> Words:
+    low = LOWER[data[offsets[0] : offsets[-1]]]
+    at = offsets - offsets[0]
+    if last - first > 1 or len(low) <= size:
+        starts, ends, hashes = found(low, at)
+    else:
+        each = [tuple(x + a if k < 2 else x for k, x in enumerate(found(low[a:b], np.array([0, b - a])))) for a, b in parts(low, ~IS_WORD, size)]
+        starts, ends, hashes = (np.concatenate(x) for x in zip(*each, strict=True))
+    return Words(first, last, low, at, starts, ends, hashes, np.searchsorted(starts, at))
 
 
-def words_of(offsets: np.ndarray, data: np.ndarray, first: int, last: int) -> Words:
-    part = LOWER[data[offsets[0] : offsets[-1]]]
-    at = offsets - offsets[0]
+def found(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of lower-cased rows that begin at ``at``."""
     inside = IS_WORD[part]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
@@ -123,5 +156,4 @@ def words_of(offsets: np.ndarray, data: np.ndarray, first: int, last: int) -> Wo
     starts, ends = np.flatnonzero(begin), np.flatnonzero(finish)
     sums = np.zeros(len(part) + 1, np.uint64)
     np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(part)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * powers(INVERSE, len(part) + 1)[starts])
-    return Words(first, last, part, at, starts, ends, hashes, np.searchsorted(starts, at))
+    return starts, ends, mix((sums[ends] - sums[starts]) * powers(INVERSE, len(part) + 1)[starts])
