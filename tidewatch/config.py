@@ -59,17 +59,15 @@ class Config:
     logging: Logging = field(default_factory=Logging)
 
 
-def merged(given: dict[str, Any] | None) -> Config:
-    """Defaults with the given sections laid over them.
+def merged(given: dict[str, Any] | None, aliases: dict[str, str] | None = None) -> Config:
+    """Defaults with the given sections laid over them; ``aliases`` names sections that a file calls otherwise.
 
-    A section of another name is taken for the one that has all its settings; what
-    fits none is refused.
+    Unknown sections and settings are refused.
     """
     config = Config()
     for section, values in (given or {}).items():
-        fitting = [f.name for f in dataclasses.fields(config) if values and all(hasattr(getattr(config, f.name), k) for k in values)]
-        name = section if hasattr(config, section) else next(iter(fitting), None)
-        if name is None:
+        name = (aliases or {}).get(section, section)
+        if name not in {f.name for f in dataclasses.fields(config)}:
             raise ValueError(f"unknown section {section!r}")
         try:
             part = dataclasses.replace(getattr(config, name), **(values or {}))
@@ -85,9 +83,9 @@ def find(start: str | Path) -> Path | None:
     return next((p for d in (here, *here.parents) if (p := d / "config" / "config.yaml").is_file()), None)
 
 
-def load(path: str | Path | None = None, start: str | Path = ".") -> Config:
+def load(path: str | Path | None = None, start: str | Path = ".", aliases: dict[str, str] | None = None) -> Config:
     """Settings from ``path``, or from the nearest config file at or above ``start``, or the defaults."""
     file = Path(path) if path else find(start)
     if file is None or not file.exists():
         return Config()
-    return merged(yaml.safe_load(file.read_text(encoding="utf-8")))
+    return merged(yaml.safe_load(file.read_text(encoding="utf-8")), aliases)
