@@ -131,11 +131,16 @@ def fit(scaled: DataFrame, latent: int = 4, sigma: float = 3.0, most: int = MOST
     """Trained on at most ``most`` rows in a fixed random order; the threshold is mean + sigma * deviation of all rows' errors."""
     rows = least_hashed(scaled.select("scaled"), most, "scaled", seed=seed).toPandas()
     model = train(np.array(rows["scaled"].tolist(), np.float64), latent, seed=seed, **options)
-    e = score(scaled, model).agg(F.avg("mse"), F.stddev_pop("mse")).first()
-    model.threshold = float(e[0] + sigma * e[1])
+    model.threshold = threshold(score(scaled, model), sigma)
     return model
 
 
+def threshold(errors: DataFrame, sigma: float = 3.0, name: str = "mse") -> float:
+    """Mean and ``sigma`` population deviations of the rows' errors."""
+    e = errors.agg(F.avg(name), F.stddev_pop(name)).first()
+    return float(e[0] + sigma * e[1])
+
+
 def score(scaled: DataFrame, model: Autoencoder, name: str = "mse") -> DataFrame:
     shared = scaled.sparkSession.sparkContext.broadcast(model.weights)  # of fixed size
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.ml.bundle import Bundle, score
 from tidewatch.operators.alerts import MODELS, verdict
 
-#: Scenarios of single sessions, in the order of schema.FEATURES with names: what a reader expects of the vote.
+#: Scenarios of single sessions, in the order of schema.FEATURES with names: what a reader expects of the vote.
 SCENARIOS = {
     "normal": dict(hour=10, is_night=0, is_weekend=0, nb_files_accessed=15, nb_sensitive_files=0, nb_failed_logins=0, nb_processes=8, bytes_sent=12000, new_ip=0, sensitive_path_access=0, z_score_files=0.2, z_score_logins=0.1, velocity=0.25, entropy_commands=0.8),
     "insider": dict(hour=2, is_night=1, is_weekend=1, nb_files_accessed=250, nb_sensitive_files=85, nb_failed_logins=2, nb_processes=18, bytes_sent=3500000, new_ip=1, sensitive_path_access=1, z_score_files=4.2, z_score_logins=0.5, velocity=12.5, entropy_commands=2.8),

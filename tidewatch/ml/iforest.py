@@ -1,4 +1,4 @@
-"""Isolation forest: trees are grown one task each from bounded samples, rows are scored in Arrow batches.
+"""Isolation forest: trees are grown in tasks from one bounded pool of rows, rows are scored in Arrow batches.
 
 A tree isolates the points of its sample by random cuts; the mean depth at which a
 row ends, over that expected of a random search tree, gives its score.
@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.storage import written
+from tidewatch.ml.sample import least_hashed
+from tidewatch.operators import quantiles
+
 NODES = "tree int, node int, feature int, threshold double, left int, right int, depth double"
 COLUMNS = [c.split()[0] for c in NODES.split(", ")]
 
@@ -74,35 +78,36 @@ class Forest:
         return self.score(x) - self.offset
 
 
-def fit(scaled: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42, contamination: float = 0.05) -> Forest:
-    """A forest from ``scaled(scaled array<float>)``; the offset is the contamination quantile of the training scores.
+#: Rows from which all trees draw, at most: as many as 200 trees of 256 rows take together.
+POOL = 51_200
+
+
+def fit(scaled: DataFrame, trees: int = 200, sample: int = 256, seed: int = 42, contamination: float = 0.05, pool: int = POOL) -> Forest:
+    """A forest from ``scaled(scaled array<float>)``; the offset is the contamination quantile of all training scores.
 
-    Each row joins a tree with a probability that gives the tree a little more than its
-    sample; the tree keeps the ``sample`` rows of least hash. So a group is bounded and
-    the rows of one tree are drawn without replacement.
+    One scan draws a pool of at most ``pool`` rows by a seeded hash; each tree takes
+    ``sample`` of them without replacement. Trees grow one task each. The quantile is
+    exact, over every row.
     """
-    n = scaled.count()
-    size = min(sample, n)
-    part = min(1.0, (size + 6 * size**0.5) / max(n, 1))
-    bound = int(part * (1 << 30))
-    rows = scaled.select(F.col("scaled"), F.monotonically_increasing_id().alias("i")) if n <= sample else scaled.select("scaled", F.xxhash64("scaled", F.monotonically_increasing_id()).alias("i"))
-
-    def mark(t):
-        return F.pmod(F.xxhash64("i", t, F.lit(seed)), F.lit(1 << 30))
-
-    chosen = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: mark(t) < bound) if part < 1 else F.sequence(F.lit(0), F.lit(trees - 1))
-    dealt = rows.withColumn("tree", F.explode(chosen)).withColumn("h", mark(F.col("tree")))
-
-    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["h", "i"]).head(sample)
-        rng = np.random.default_rng((seed, int(key[0])))
-        out = pd.DataFrame(grow(np.array(group["scaled"].tolist(), np.float64), rng), columns=COLUMNS[1:])
-        out.insert(0, "tree", np.int32(key[0]))
-        return out
-
-    forest = Forest(dealt.groupBy("tree").applyInPandas(build, NODES).toPandas(), size)
-    scores = score(scaled, forest, raw=True)
-    forest.offset = float(scores.agg(F.percentile("score", F.lit(contamination))).first()[0])
+    rows = least_hashed(scaled.select("scaled"), pool, "scaled", seed=seed).toPandas()
+    x = np.array(rows["scaled"].tolist(), np.float32).reshape(len(rows), -1)
+    size = min(sample, len(x))
+    spark = scaled.sparkSession
+    shared = spark.sparkContext.broadcast(x)  # pool rows at most
+
+    def build(batches):
+        for batch in batches:
+            for t in batch["id"]:
+                rng = np.random.default_rng((seed, int(t)))
+                own = rng.choice(len(shared.value), size, replace=False) if size else np.zeros(0, int)
+                out = pd.DataFrame(grow(shared.value[own].astype(np.float64), rng), columns=COLUMNS[1:])
+                out.insert(0, "tree", np.int32(t))
+                yield out
+
+    forest = Forest(spark.range(0, trees, 1, min(trees, 32)).mapInPandas(build, NODES).toPandas(), size)
+    scores = written(score(scaled, forest, raw=True).select("score"), "forest-scores")
+    offset = quantiles.exact(scores, {"score": (contamination,)})["score", contamination]
+    forest.offset = -0.5 if offset is None else float(offset)
     return forest
 
 

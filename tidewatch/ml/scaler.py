@@ -43,3 +43,13 @@ def transform(data: DataFrame, scaler: Scaler, name: str = "scaled") -> DataFram
     full = with_features(data)
     parts = [((clean(c).cast("double") - F.lit(float(m))) / F.lit(float(s))).cast("float") for c, m, s in zip(FEATURES, scaler.mean, scaler.scale, strict=True)]
     return full.select(*data.columns, F.array(*parts).alias(name))
+
+
+def check(data: DataFrame, digits: int = 4) -> DataFrame:
+    """Mean and deviation of each feature before and after scaling: (feature, mean, deviation, scaled_mean, scaled_deviation)."""
+    scaler = fit(data)
+    full = with_features(data)
+    before = [F.struct(F.lit(c).alias("feature"), clean(c).cast("double").alias("x"), ((clean(c).cast("double") - F.lit(float(m))) / F.lit(float(s))).alias("y")) for c, m, s in zip(FEATURES, scaler.mean, scaler.scale, strict=True)]
+    r = lambda x: F.round(x, digits) + F.lit(0.0)
+    rows = full.select(F.inline(F.array(*before)))
+    return rows.groupBy("feature").agg(r(F.avg("x")).alias("mean"), r(F.stddev_pop("x")).alias("deviation"), r(F.avg("y")).alias("scaled_mean"), r(F.stddev_pop("y")).alias("scaled_deviation"))

@@ -38,9 +38,17 @@ def user_zscores(features: DataFrame, skewed: bool = False) -> DataFrame:
 
 
 def rolling_zscores(features: DataFrame, history: int = 500) -> DataFrame:
-    """Both z-scores over the user's sessions among the last ``history`` of all users and the present one; needs ``seq``."""
-    frame = Window.partitionBy("username").orderBy("seq").rangeBetween(-history, 0)
-    return features.withColumns({z: z_over(c, frame) for z, c in Z.items()})
+    """Both z-scores over the user's sessions among the last ``history`` of all users and the present one; needs ``seq``.
+
+    Rows are dealt by user and block of ``history`` numbers, each block with the numbers
+    of the block before beside it, so no user is more than a block's rows in a task.
+    """
+    block = F.floor(F.col("seq") / F.lit(max(history, 1)))
+    rows = features.withColumns({"__block": block, "__own": F.lit(True)})
+    before = features.select("username", "seq", *Z.values(), (block + 1).alias("__block"), F.lit(False).alias("__own"))
+    frame = Window.partitionBy("username", "__block").orderBy("seq").rangeBetween(-history, 0)
+    both = rows.unionByName(before, allowMissingColumns=True)
+    return both.withColumns({z: z_over(c, frame) for z, c in Z.items()}).filter("__own").drop("__block", "__own")
 
 
 def dataset(features: DataFrame) -> DataFrame:

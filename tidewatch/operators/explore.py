@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.storage import written
+from tidewatch.operators import quantiles
 from tidewatch.schema import FEATURES
 
 
@@ -21,24 +23,40 @@ def unpivoted(wide: DataFrame, rows: dict[str, dict[str, Column]], key: str = "f
     return wide.select(F.inline(F.array(*items)))
 
 
+QUARTILES = (0.25, 0.5, 0.75)
+
+
 def describe(data: DataFrame, columns=FEATURES, digits: int = 3) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles of each column, rounded."""
+    data = written(data.select(*[F.col(c).cast("double").alias(c) for c in columns]), "describe")
     aggs = []
     for c in columns:
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"count_{c}"), F.avg(x).alias(f"mean_{c}"), F.stddev_samp(x).alias(f"std_{c}"), F.min(x).alias(f"min_{c}"), F.max(x).alias(f"max_{c}"), F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{c}")]
+        aggs += [F.count(c).alias(f"count_{c}"), F.avg(c).alias(f"mean_{c}"), F.stddev_samp(c).alias(f"std_{c}"), F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+    quantile = quantiles.exact(data, dict.fromkeys(columns, QUARTILES))
     r = lambda x: F.round(x, digits) + F.lit(0.0)
-    rows = {c: {"count": F.col(f"count_{c}"), "mean": r(F.col(f"mean_{c}")), "std": r(F.col(f"std_{c}")), "min": r(F.col(f"min_{c}")), "q25": r(F.col(f"q_{c}")[0]), "q50": r(F.col(f"q_{c}")[1]), "q75": r(F.col(f"q_{c}")[2]), "max": r(F.col(f"max_{c}"))} for c in columns}
+    rows = {c: {"count": F.col(f"count_{c}"), "mean": r(F.col(f"mean_{c}")), "std": r(F.col(f"std_{c}")), "min": r(F.col(f"min_{c}")), **{f"q{round(100 * q)}": r(F.lit(quantile[c, q]).cast("double")) for q in QUARTILES}, "max": r(F.col(f"max_{c}"))} for c in columns}
     return unpivoted(data.agg(*aggs), rows)
 
 
 def correlation(data: DataFrame, columns=FEATURES, digits: int = 6) -> DataFrame:
-    """Pearson correlation of each pair in the lower triangle (feature_a before feature_b); null where undefined."""
+    """Pearson correlation of each pair in the lower triangle (feature_a before feature_b); null where undefined.
+
+    Two passes: means and deviations, then one sum of products for each pair. Where a
+    column has nulls, its pairs are taken over the rows in which both have values.
+    """
+    data = written(data.select(*[F.col(c).cast("double").alias(c) for c in columns]), "correlation")
+    aggs = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max))]
+    one = data.agg(F.count("*").alias("n"), *aggs).first()
     pairs = list(combinations(columns, 2))
-    varies = {c: F.max(F.col(c)) != F.min(F.col(c)) for c in columns}
-    aggs = [F.when(varies[a] & varies[b], F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
-    items = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), (F.round(F.col(f"r{i}"), digits) + F.lit(0.0)).alias("r")) for i, (a, b) in enumerate(pairs)]
-    return data.agg(*aggs).select(F.inline(F.array(*items)))
+    whole = {c for c in columns if one[f"n_{c}"] == one["n"]}
+    flat = {c for c in columns if one[f"lo_{c}"] == one[f"hi_{c}"]}
+    z = {c: (F.col(c) - F.lit(one[f"m_{c}"])) / F.lit(one[f"s_{c}"]) for c in whole - flat}
+    plain = [(a, b) for a, b in pairs if a in z and b in z]
+    rest = [(a, b) for a, b in pairs if not {a, b} <= whole and not {a, b} & flat]
+    found = data.agg(F.lit(0), *[F.avg(z[a] * z[b]).alias(f"{a}/{b}") for a, b in plain], *[F.corr(a, b).alias(f"{a}/{b}") for a, b in rest]).first().asDict() if one["n"] else {}
+    r = F.round(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))), digits) + F.lit(0.0)
+    table = data.sparkSession.createDataFrame([(a, b, found.get(f"{a}/{b}")) for a, b in pairs], "feature_a string, feature_b string, r double")
+    return table.withColumn("r", F.when(F.col("r").isNotNull() & ~F.isnan("r"), r))
 
 
 def hours(data: DataFrame) -> DataFrame:
@@ -96,5 +114,12 @@ def rates(data: DataFrame, columns: dict[str, str]) -> DataFrame:
     return unpivoted(wide, {n: {"rate": F.round(F.col(n), 6)} for n in columns}, "name")
 
 
-def range_of(data: DataFrame, column: str) -> DataFrame:
-    return data.agg(F.avg(column).alias("mean"), F.min(column).alias("min"), F.max(column).alias("max"))
+def range_of(data: DataFrame, *columns: str) -> DataFrame:
+    """Mean, least and greatest of score columns: (name, mean, min, max)."""
+    wide = data.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
+    return unpivoted(wide, {c: {n: F.col(f"{n}_{c}") for n in ("mean", "min", "max")} for c in columns}, "name")
+
+
+def head(data: DataFrame, *order: str, n: int = 5) -> DataFrame:
+    """The first ``n`` rows in an order."""
+    return data.orderBy(*order).limit(n)

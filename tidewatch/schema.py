@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: Event ids by class, compared as text. Registry and DNS events only extend a session.
+#: Event ids by class, as the log sources number them, compared as text. Registry and DNS events only extend a session.
 CLASSES = {
     "login_success": ("4624",),
     "login_failed": ("4625",),
@@ -26,7 +26,7 @@ RAW_EVENT = T.StructType([
     T.StructField("dst_ip", T.StringType()),
 ])
 
-#: Columns of the exported data set, in order.
+#: Columns of the exported data set, in the order that readers of the file expect.
 DATASET = (
     "timestamp", "username", "hour", "is_night", "is_weekend", "nb_files_accessed", "nb_sensitive_files", "nb_failed_logins", "nb_processes", "bytes_sent",
     "new_ip", "sensitive_path_access", "process_name", "command_line", "z_score_files", "z_score_logins", "velocity", "entropy_commands", "session_duration_min",
@@ -37,7 +37,7 @@ DATASET_SCHEMA = T.StructType([
     for c in DATASET
 ])
 
-#: Columns of the model's input vector, in order.
+#: Columns of the model's input vector, in the order that trained parameters refer to.
 FEATURES = (
     "hour", "is_night", "is_weekend", "nb_files_accessed", "nb_sensitive_files", "nb_failed_logins", "nb_processes", "bytes_sent", "new_ip", "sensitive_path_access",
     "z_score_files", "z_score_logins", "velocity", "entropy_commands",
