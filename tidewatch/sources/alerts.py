@@ -46,6 +46,18 @@ def load(spark: SparkSession, path: str) -> DataFrame:
     return parse(read_lines(spark, path))
 
 
+REJECTED = "_seq bigint, value string, reason string"
+
+
+def rejected(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """Of ``lines(_seq, value)`` those that gave none of ``events``, with the reason."""
+    bad = lines.select("_seq", "value").join(events.select("_seq").distinct(), "_seq", "left_anti")
+    v = F.try_parse_json("value")
+    kind = F.schema_of_variant(v)
+    reason = F.when(v.isNull(), "not JSON").when(~(kind.startswith("OBJECT") | kind.startswith("ARRAY")), "neither an object nor an array").otherwise("no valid timestamp")
+    return bad.select("_seq", "value", reason.alias("reason"))
+
+
 def at(path: str):
     """A text at a path of the alert; null where it is absent, null or nested."""
     return F.try_variant_get("alert", f"$.{path}", "string")

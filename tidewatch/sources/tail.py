@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-#: Bytes read in one batch at most; the rest follows in the next.
+#: Bytes read in one batch, about; the rest follows in the next. A longer line is read whole.
 MOST_BYTES = 64 << 20
 
 
@@ -46,6 +46,8 @@ class TailReader(SimpleDataSourceStreamReader):
         with open(self.path, "rb") as f:
             f.seek(pos)
             raw = f.read(min(size - pos, MOST_BYTES))
+            while b"\n" not in raw and pos + len(raw) < size and (more := f.read(min(size - pos - len(raw), MOST_BYTES))):
+                raw += more[: more.find(b"\n") + 1] or more  # up to the end of the long line
         whole = raw.rfind(b"\n") + 1
         lines = raw[:whole].decode("utf-8", "replace").split("\n")[:-1]
         at, rows = pos, []

@@ -11,10 +11,18 @@ from tidewatch.operators.sessions import ORDER, when_filled
 
 
 def entropy(values: Column) -> Column:
-    """Shannon entropy in bits of an array's values."""
-    n = F.size(values)
-    part = F.transform(F.array_distinct(values), lambda v: F.size(F.filter(values, lambda x: x == v)) / n)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(-F.aggregate(part, F.lit(0.0), lambda a, p: a + p * F.log2(p)), F.lit(0.0)))
+    """Shannon entropy in bits of an array's values, by the runs of the sorted array."""
+    n = F.size(values).cast("double")
+    log = lambda c: F.when(c > 0, c * F.log2(c)).otherwise(F.lit(0.0))
+    first = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(acc, v):
+        same = acc["last"] == v
+        return F.struct(v.alias("last"), F.when(same, acc["run"] + 1.0).otherwise(F.lit(1.0)).alias("run"), F.when(same, acc["sum"]).otherwise(acc["sum"] + log(acc["run"])).alias("sum"))
+
+    # -sum(c/n log2(c/n)) = log2(n) - sum(c log2 c) / n
+    total = F.aggregate(F.array_sort(values), first, step, lambda acc: acc["sum"] + log(acc["run"]))
+    return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.log2(n) - total / n, F.lit(0.0)))
 
 
 def sessions(events: DataFrame, config: Config = Config(), minutes: float | None = None, delay: str = "10 minutes") -> DataFrame:
