@@ -35,3 +35,14 @@ def test_entry_points(spark):
     assert e.entry(spark).columns == list(catalog.DATASET)
     assert set(e.oracle_sql()) <= set(e.queries())
     assert os.path.isdir(SF)
+
+
+def test_queries_without_the_corpus_part(monkeypatch):
+    """Missing, or without a library that it needs, it costs its own queries only."""
+    import sys
+
+    import __spark_entry__ as e
+
+    for name in ("tidewatch.llm", "corpus_pipeline"):
+        monkeypatch.setitem(sys.modules, name, None)
+    assert set(e.queries()) == set(catalog.QUERIES) and set(e.oracle_sql()) == set(catalog.ORACLES)

@@ -119,3 +119,44 @@ def test_queries_train_in_full(spark, monkeypatch, name, size):
     sessions = catalog.scored(spark, f"/root/testdata/{size}").count()
     catalog.QUERIES[name](spark, f"/root/testdata/{size}")
     assert seen == [(sessions, 200)] and (size != "sf0.01" or sessions > 2000)
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    from tidewatch.operators import quantiles
+
+    rng = np.random.default_rng(8)
+    data = {"a": rng.normal(size=500), "b": rng.integers(0, 3, 500).astype(float), "c": np.full(500, 2.5), "d": np.where(rng.random(500) < 0.5, np.nan, rng.random(500)), "e": np.full(500, np.nan)}
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(*data.values(), strict=True)], ", ".join(f"{k} double" for k in data))
+    shares = (0.0, 0.05, 0.25, 0.5, 0.75, 1.0)
+    for bins in (quantiles.BINS, 3):
+        got = quantiles.exact(df, dict.fromkeys(data, shares), bins)
+        for c, x in data.items():
+            x = x[~np.isnan(x)]
+            assert [got[c, q] for q in shares] == ([None] * len(shares) if not len(x) else pytest.approx(np.quantile(x, shares), abs=1e-12))
+
+
+def test_correlation_with_nulls(spark):
+    from tidewatch.operators import explore
+
+    rows = [(1.0, 2.0, None, 5.0), (2.0, 1.0, 3.0, 5.0), (3.0, 5.0, 1.0, 5.0), (4.0, 3.0, 2.0, 5.0)]
+    got = {(r["feature_a"], r["feature_b"]): r["r"] for r in explore.correlation(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b", "c", "d"]).collect()}
+    want = lambda i, j: float(np.corrcoef(*np.array([(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]).T)[0, 1])
+    assert got["a", "b"] == pytest.approx(want(0, 1), abs=1e-6) and got["a", "c"] == pytest.approx(want(0, 2), abs=1e-6) and got["b", "c"] == pytest.approx(want(1, 2), abs=1e-6)
+    assert got["a", "d"] is got["c", "d"] is None
+
+
+def test_train_program(spark, tmp_path, monkeypatch):
+    from tidewatch.plans import train
+
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    log, folder = tmp_path / "train.log", str(tmp_path / "models")
+    assert train.main(["--simulate", "60", "--models", folder, "--epochs", "2", "--trees", "20", "--evaluate", "--log-file", str(log)]) == 0
+    assert bundle.load(spark, folder).ready
+    said = log.read_text()
+    assert "autoencoder: 2 epochs" in said and "if_score: mean" in said and "attack: precision" in said
+    data = baseline.dataset(baseline.user_zscores(simulate.normal(spark, 40)))
+    tables.write_csv(data, str(tmp_path / "data"))
+    assert train.data_set(spark, str(tmp_path / "data")).count() == 40
+    with pytest.raises(ValueError, match="velocity"):
+        data.drop("velocity").write.parquet(str(tmp_path / "less"))
+        train.data_set(spark, str(tmp_path / "less"), "parquet")

@@ -11,14 +11,14 @@ from tidewatch.config import Config
 from tidewatch.functions import storage
 from tidewatch.functions.scalar import even
 from tidewatch.ml import autoencoder, bundle, ensemble, iforest, ocsvm, scaler
-from tidewatch.operators import alerts, baseline, evaluate, explore, sessions
+from tidewatch.operators import alerts, baseline, evaluate, explore, quantiles, sessions
 from tidewatch.operators.ordering import with_sequence
-from tidewatch.plans import oracle
+from tidewatch.plans import fixed, oracle, train
 from tidewatch.schema import DATASET, FEATURES
 from tidewatch.sources import alerts as alert_source
 from tidewatch.sources import simulate, tables
 from tidewatch.sources.telemetry import raw_events
-from tidewatch.streaming import native
+from tidewatch.streaming import detector, native
 
 #: Minutes that make sessions of many events from the events table, and the default.
 LONG, SHORT = 720, 60
@@ -317,8 +317,7 @@ def _(spark, d):
 
 @query("user_list", f"WITH {oracle.sessions(LONG)} SELECT username, count(*) AS sessions, strftime(min(start_ts), '%Y-%m-%d %H:%M:%S') AS first_ts FROM f GROUP BY username")
 def _(spark, d):
-    rows = features(spark, d).groupBy("username").agg(F.count("*").alias("sessions"), F.min("timestamp").alias("t"))
-    return rows.select("username", "sessions", F.regexp_replace(F.substring("t", 1, 19), "T", " ").alias("first_ts"))
+    return explore.users(features(spark, d)).select("username", "sessions", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"))
 
 
 @query("dataset_summary", f"WITH {oracle.sessions(LONG)} SELECT count(*) AS sessions, count(DISTINCT username) AS users, epoch_us(min(start_ts)) AS first_us, epoch_us(max(last_ts)) AS last_us FROM f")
@@ -336,33 +335,39 @@ def _(spark, d):
 
 
 def fitted_on_events(spark, d):
-    data = scored(spark, d)
-    return data, scaler.transform(data, scaler.fit(data))
+    """Scaled session features in a table, as each fit reads them several times."""
+    data = storage.written(scored(spark, d).select("username", "timestamp", *FEATURES), "features")
+    return storage.written(scaler.transform(data, scaler.fit(data)).select("username", "timestamp", "scaled"), "scaled")
 
 
 @query("iforest_score")
 def _(spark, d):
-    _, scaled = fitted_on_events(spark, d)
+    scaled = fitted_on_events(spark, d)
     return iforest.score(scaled, iforest.fit(scaled)).select("username", "timestamp", "score")
 
 
 @query("ocsvm_score")
 def _(spark, d):
-    _, scaled = fitted_on_events(spark, d)
+    scaled = fitted_on_events(spark, d)
     return ocsvm.score(scaled, ocsvm.fit(scaled)).select("username", "timestamp", "score")
 
 
 @query("autoencoder_score")
 def _(spark, d):
-    _, scaled = fitted_on_events(spark, d)
+    scaled = fitted_on_events(spark, d)
     model = autoencoder.fit(scaled)
     return autoencoder.score(scaled, model).select("username", "timestamp", "mse", F.lit(model.threshold).alias("threshold"))
 
 
+@query("autoencoder_history")
+def _(spark, d):
+    return train.history(spark, bundle.Bundle(autoencoder=autoencoder.fit(fitted_on_events(spark, d))))
+
+
 @query("ensemble_alerts")
 def _(spark, d):
-    data = scored(spark, d)
-    return alerts.shaped(ensemble.predict(data, bundle.fit(data, CONFIG)), F.lit("2024-01-01 00:00:00").cast("timestamp")).select("severity", "username", "session_ts", "confidence", "votes")
+    data = storage.written(scored(spark, d), "features")
+    return alerts.shaped(ensemble.predict(data, bundle.fit(data, CONFIG)), stamp()).select("severity", "username", "session_ts", "confidence", "votes")
 
 
 @query("simulated_evaluation")
@@ -371,6 +376,191 @@ def _(spark, d):
     return evaluate.report(ensemble.predict(data, trained(spark)))
 
 
+def fixed_prediction(spark, d):
+    return ensemble.predict(scored(spark, d), fixed.models(), CONFIG.detection.ensemble_threshold)
+
+
+FIXED = f"WITH {fixed.scored(LONG)}"
+
+
+def stamp():
+    """A time of alerts that doesn't change."""
+    return F.lit("2024-01-01 00:00:00").cast("timestamp")
+
+
+@query("iforest_score_fixed", f"{FIXED} SELECT username, timestamp, round(forest, 6) + 0.0 AS score, a AS anomaly FROM m")
+def _(spark, d):
+    models = fixed.models()
+    out = iforest.score(scaler.transform(scored(spark, d), models.scaler), models.iforest)
+    return out.select("username", "timestamp", (F.round("score", 6) + F.lit(0.0)).alias("score"), (F.col("score") < 0).alias("anomaly"))
+
+
+@query("ocsvm_score_fixed", f"{FIXED} SELECT username, timestamp, round(svm, 6) + 0.0 AS score, b AS anomaly FROM m")
+def _(spark, d):
+    models = fixed.models()
+    out = ocsvm.score(scaler.transform(scored(spark, d), models.scaler), models.ocsvm)
+    return out.select("username", "timestamp", (F.round("score", 6) + F.lit(0.0)).alias("score"), (F.col("score") < 0).alias("anomaly"))
+
+
+@query("autoencoder_score_fixed", f"{FIXED} SELECT username, timestamp, round(mse, 6) + 0.0 AS mse, c AS anomaly FROM m")
+def _(spark, d):
+    models = fixed.models()
+    out = autoencoder.score(scaler.transform(scored(spark, d), models.scaler), models.autoencoder)
+    return out.select("username", "timestamp", (F.round("mse", 6) + F.lit(0.0)).alias("mse"), (F.col("mse") > models.autoencoder.threshold).alias("anomaly"))
+
+
+@query("detection_thresholds", f"{FIXED} SELECT round(avg(mse) + 3 * stddev_pop(mse), 6) AS ae_threshold, round(quantile_cont(raw, 0.05), 6) AS if_offset FROM m")
+def _(spark, d):
+    """Where the fits would cut: mean and three deviations of the errors, and the contamination quantile of the scores."""
+    models = fixed.models()
+    scaled = scaler.transform(scored(spark, d), models.scaler)
+    rows = autoencoder.score(iforest.score(scaled, models.iforest, raw=True), models.autoencoder)
+    rows = storage.written(rows.select("score", "mse"), "scores")
+    offset = quantiles.exact(rows, {"score": (CONFIG.detection.contamination,)})["score", CONFIG.detection.contamination]
+    limit = autoencoder.threshold(rows, CONFIG.detection.ae_threshold_sigma)
+    return spark.createDataFrame([(limit, offset)], "a double, b double").select(F.round("a", 6).alias("ae_threshold"), F.round("b", 6).alias("if_offset"))
+
+
+@query("model_predictions_fixed", f"""{FIXED} SELECT username, timestamp, CASE WHEN a THEN -1 ELSE 1 END AS if_pred, CASE WHEN b THEN -1 ELSE 1 END AS svm_pred, CASE WHEN c THEN -1 ELSE 1 END AS ae_pred,
+round(round_even(forest, 4), 4) + 0.0 AS if_score, round(round_even(svm, 4), 4) + 0.0 AS svm_score, round(round_even(mse, 6), 6) + 0.0 AS ae_error, votes, votes >= 2 AS is_anomaly, round_even(votes / 3.0, 2) AS confidence FROM v""")
+def _(spark, d):
+    flat = ensemble.flat(fixed_prediction(spark, d))
+    tidy = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
+    return flat.select("username", "timestamp", "if_pred", "svm_pred", "ae_pred", tidy("if_score", 4), tidy("svm_score", 4), tidy("ae_error", 6), "votes", "is_anomaly", "confidence")
+
+
+ALERTS_SQL = f"""{FIXED} SELECT '2024-01-01T00:00:00.000000Z' AS timestamp, 'ueba_anomaly' AS type, username, timestamp AS session_ts, votes, round_even(votes / 3.0, 2) AS confidence,
+CASE WHEN votes = 3 OR nb_sensitive_files > 0 OR nb_failed_logins >= 5 OR is_night <> 0 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, b AS svm_anomaly, is_weekend = 1 AS is_weekend, nb_sensitive_files, process_name, bytes_sent FROM v WHERE votes >= 2"""
+ALERT_COLUMNS = ("timestamp", "type", "username", "session_ts", "votes", "confidence", "severity", "models.one_class_svm.anomaly", "indicators.is_weekend", "indicators.nb_sensitive_files", "indicators.process_name", "indicators.bytes_sent")
+
+
+def alert_columns(rows):
+    return rows.select(*[F.col(c).alias("svm_anomaly" if c.endswith("anomaly") else c.rpartition(".")[2]) for c in ALERT_COLUMNS])
+
+
+@query("ensemble_alerts_fixed", ALERTS_SQL)
+def _(spark, d):
+    return alert_columns(alerts.shaped(fixed_prediction(spark, d), stamp()))
+
+
+@query("alert_sink", ALERTS_SQL)
+def _(spark, d):
+    """Alerts appended as JSON lines by a batch that is written twice, read back."""
+    rows, path = alerts.shaped(fixed_prediction(spark, d), stamp()), storage.fresh(spark, "alerts")
+    for _ in range(2):
+        alerts.write(rows, path, 0)
+    return alert_columns(spark.read.schema(rows.schema).json(path)).withColumn("votes", F.col("votes").cast("int"))
+
+
+@query("bundle_round_trip", f"{FIXED} SELECT username, timestamp, votes, a, b, c FROM v")
+def _(spark, d):
+    """Models saved, loaded and applied by the row, all absent ones aside."""
+    folder = storage.fresh(spark, "bundle")
+    bundle.save(spark, fixed.models(), folder)
+    out = ensemble.predict(scored(spark, d), bundle.load(spark, folder))
+    return out.select("username", "timestamp", "votes", *[F.col(m)["anomaly"].alias(n) for m, n in zip(alerts.MODELS, "abc", strict=True)])
+
+
+@query("bundle_inventory", "SELECT * FROM (VALUES ('autoencoder', true), ('history', true), ('iforest', true), ('meta', true), ('ocsvm', false), ('scaler', true)) t(part, present)")
+def _(spark, d):
+    folder, models = storage.fresh(spark, "bundle"), fixed.models()
+    models.ocsvm = None
+    bundle.save(spark, models, folder)
+    return bundle.inventory(spark, folder).select("part", "present")
+
+
+@query("score_ranges", f"""{FIXED} SELECT 'if_score' AS name, round(avg(round_even(forest, 4)), 6) AS mean, round(min(round_even(forest, 4)), 6) AS min, round(max(round_even(forest, 4)), 6) AS max FROM m
+UNION ALL SELECT 'svm_score', round(avg(round_even(svm, 4)), 6), round(min(round_even(svm, 4)), 6), round(max(round_even(svm, 4)), 6) FROM m
+UNION ALL SELECT 'ae_error', round(avg(round_even(mse, 6)), 6), round(min(round_even(mse, 6)), 6), round(max(round_even(mse, 6)), 6) FROM m""")
+def _(spark, d):
+    return train.ranges(fixed_prediction(spark, d)).select("name", *[F.round(c, 6).alias(c) for c in ("mean", "min", "max")])
+
+
+def scaler_check_sql() -> str:
+    one = lambda c: f"SELECT '{c}' AS feature, round(avg(x), 4) + 0.0 AS mean, round(stddev_pop(x), 4) + 0.0 AS deviation, 0.0 AS scaled_mean, CASE WHEN max(x) = min(x) THEN 0.0 ELSE 1.0 END AS scaled_deviation FROM (SELECT CAST(CAST({c} AS FLOAT) AS DOUBLE) AS x FROM g)"
+    return f"WITH {oracle.scored(LONG)} {' UNION ALL '.join(map(one, FEATURES))}"
+
+
+@query("scaler_check", scaler_check_sql())
+def _(spark, d):
+    """Mean and deviation of each feature before and after scaling."""
+    return scaler.check(storage.written(scored(spark, d), "features"), digits=4)
+
+
+@query("scenario_verdicts", f"WITH g AS (SELECT * FROM (VALUES {', '.join('(' + repr(k) + ', ' + ', '.join(repr(float(v[c])) for c in FEATURES) + ')' for k, v in ensemble.SCENARIOS.items())}) t(scenario, {', '.join(FEATURES)})){fixed.scores_sql()} SELECT scenario, votes, votes >= 2 AS is_anomaly, a, b, c FROM v")
+def _(spark, d):
+    """Each scenario explained on its own."""
+    models = fixed.models()
+    said = {k: ensemble.explain(spark, models, v) for k, v in ensemble.SCENARIOS.items()}
+    return spark.createDataFrame([(k, r["votes"], r["is_anomaly"], *[r[m]["anomaly"] for m in alerts.MODELS]) for k, r in said.items()], "scenario string, votes int, is_anomaly boolean, a boolean, b boolean, c boolean")
+
+
+@query("model_vectors", f"WITH {oracle.scored(LONG)} SELECT username, timestamp, {', '.join(f'CAST({c} AS FLOAT) AS {c}' if c != 'velocity' else '0::FLOAT AS velocity' for c in FEATURES)} FROM g")
+def _(spark, d):
+    """The models' input where a feature is absent: it counts as 0."""
+    rows = tables.vector(scored(spark, d).drop("velocity"))
+    return rows.select("username", "timestamp", *[F.col("vector")[i].alias(c) for i, c in enumerate(FEATURES)])
+
+
+@query("session_preview", f"WITH {oracle.sessions(LONG)} SELECT username, timestamp, nb_files_accessed, bytes_sent FROM f ORDER BY start_ts, username LIMIT 5")
+def _(spark, d):
+    return explore.head(features(spark, d), "start_ts", "username").select("username", "timestamp", "nb_files_accessed", "bytes_sent")
+
+
+@query("users_by_first_session", f"WITH {oracle.sessions(LONG)} SELECT username, count(*) AS sessions, epoch_us(min(start_ts)) AS first_us FROM f GROUP BY username")
+def _(spark, d):
+    return explore.users(features(spark, d)).select("username", "sessions", F.unix_micros("first_ts").alias("first_us"))
+
+
+@query("recent_history", f"""WITH {oracle.sessions(LONG)}, q AS (SELECT *, row_number() OVER (ORDER BY username, start_ts) - 1 AS seq FROM f)
+SELECT seq, username, nb_files_accessed, nb_failed_logins FROM q ORDER BY seq DESC LIMIT 500""")
+def _(spark, d):
+    """What the detector remembers after two batches that hold all sessions."""
+    rows = storage.written(with_sequence(features(spark, d), "username", "start_ts"), "sessions")
+    folder, size, cut = storage.fresh(spark, "history"), CONFIG.daemon.history_size, rows.count() // 2
+    for batch, part in enumerate((rows.filter(F.col("seq") < cut), rows.filter(F.col("seq") >= cut))):
+        detector.remember(detector.recent(spark, folder, batch, size), part, folder, batch, size)
+    return detector.recent(spark, folder, 2, size)
+
+
+@query("anomalous_files", f"WITH {oracle.voted(LONG)} SELECT username, timestamp, nb_files_accessed FROM w WHERE a AND nb_files_accessed IS NOT NULL")
+def _(spark, d):
+    """Rows of one sign of a model's prediction, nulls left out."""
+    rows = voted(spark, d).filter(F.col("isolation_forest.anomaly") & F.col("nb_files_accessed").isNotNull())
+    return rows.select("username", "timestamp", "nb_files_accessed")
+
+
+def as_array(frames):
+    """Lines of a JSON array over the values of a partition."""
+    import pandas as pd
+
+    yield pd.DataFrame({"value": ["["]})
+    before = ""
+    for frame in frames:
+        values = frame["value"].tolist()
+        yield pd.DataFrame({"value": [(before if k == 0 else ",") + v for k, v in enumerate(values)]})
+        before = "," if values else before
+    yield pd.DataFrame({"value": ["]"]})
+
+
+@query("alert_array", f"WITH {oracle.RAW} SELECT _seq, username, event_id, bytes_sent FROM raw")
+def _(spark, d):
+    """Events written as JSON arrays over many lines, one a file, read and flattened again."""
+    alert = F.struct(F.col("ts_text").alias("timestamp"), F.struct(F.col("_seq").alias("id")).alias("rule"), F.struct(F.col("event_id").cast("int").alias("id"), F.concat(F.lit(" "), F.upper("username")).alias("srcuser"), "bytes_sent").alias("data"))
+    path = storage.fresh(spark, "arrays")
+    events(spark, d).select(F.to_json(alert).alias("value")).mapInPandas(as_array, "value string").write.text(path)
+    found = alert_source.raw_events(alert_source.load(spark, path))
+    return found.select(F.col("rule_id").cast("bigint").alias("_seq"), "username", "event_id", "bytes_sent")
+
+
+@query("rejected_lines", "SELECT * FROM (VALUES (1, 'not JSON'), (2, 'neither an object nor an array'), (3, 'no valid timestamp'), (4, 'no valid timestamp'), (6, 'no valid timestamp')) t(_seq, reason)")
+def _(spark, d):
+    """Lines that give no event, with the reason."""
+    values = ['{"timestamp": "2024-01-15T10:00:00Z"}', "{broken", "12", '{"timestamp": "soon"}', "{}", '[{}, {"@timestamp": "2024-01-15 10:00:00"}]', "[]"]
+    lines = spark.createDataFrame(list(enumerate(values)), "_seq bigint, value string")
+    return alert_source.rejected(lines, alert_source.raw_events(alert_source.parse(lines))).select(F.col("_seq").cast("int").alias("_seq"), "reason")
+
+
 STREAM_COLUMNS = ("timestamp", "username", "hour", "is_night", "is_weekend", "nb_files_accessed", "nb_sensitive_files", "nb_failed_logins", "nb_processes", "bytes_sent", "new_ip", "sensitive_path_access", "process_name", "command_line", "velocity", "entropy_commands", "session_duration_min")
 
 

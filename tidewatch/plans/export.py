@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.config import Config, load
+from tidewatch.functions import reporting
 from tidewatch.operators import baseline, explore
 from tidewatch.operators.sessions import session_features
 from tidewatch.sources import alerts, tables
@@ -30,13 +31,15 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--config")
     args.add_argument("--session-min", type=float)
     args.add_argument("--format", choices=("csv", "parquet"), default="csv")
+    args.add_argument("--single", action="store_true", help="gather the CSV into one file, for small data sets")
+    reporting.arguments(args)
     given = args.parse_args(argv)
-    config = load(given.config)
+    config = load(given.config, aliases=reporting.aliases(given))
     if given.session_min is not None:
         import dataclasses
 
         config = dataclasses.replace(config, input=dataclasses.replace(config.input, session_minutes=given.session_min))
-    logging.basicConfig(level=config.logging.level)
+    reporting.set_up(config.logging.level, given.verbose, given.log_file)
     spark = SparkSession.builder.appName("tidewatch-export").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     found = features(spark, given.input or config.input.alerts_path, config).persist()
     total = explore.summary(found).first()
@@ -45,10 +48,12 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     data = baseline.dataset(found)
     if given.format == "csv":
-        tables.write_csv(data, given.output, single=True)
+        tables.write_csv(data, given.output, single=given.single)
     else:
         data.write.mode("overwrite").parquet(given.output)
     log.info("%d sessions of %d users, %s to %s", total["sessions"], total["users"], total["first_ts"], total["last_ts"])
+    for r in explore.users(found).limit(20).collect() if log.isEnabledFor(logging.DEBUG) else ():
+        log.debug("%s: %d sessions, first %s", r["username"], r["sessions"], r["first_ts"])
     return 0
 
 
