@@ -14,7 +14,7 @@ narrow the range of the cut until at most ``FEW`` different scores are sent.
 Defined cases: a null or empty text has all-zero features and is scored like any
 other; labels that repeat a doc_id are averaged, and 0.5 or more is 1; null labels
 and labels of unknown documents are skipped; each row of a repeated doc_id is
-scored by its own text; if only one label, or none, is seen, every score is 1.0 for
+scored by its own text; ``keep`` holds the input in one struct, so its columns may have any names; if only one label, or none, is seen, every score is 1.0 for
 label 1 or none and 0.0 for label 0; an empty table gives no rows.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
-from tidewatch.llm.words import blocks, text_buffers, words_of
+from tidewatch.llm.words import BLOCK, blocks, text_buffers, words_of
 
 MAX_FIT, PAIRS, RIDGE, SEED = 10_000, 100_000, 1.0, 11
 CUT = 0.7
@@ -46,8 +46,11 @@ def features(column: pa.Array) -> np.ndarray:
         rows = last - first
         block = words_of(offsets[first : last + 1], data, first, last)
         raw = data[offsets[first] : offsets[last]]
-        row_of = np.repeat(np.arange(rows), np.diff(block.offsets))
-        counts = np.bincount(row_of * 256 + raw, minlength=rows * 256).reshape(rows, 256)
+        if rows > 1:
+            row_of = np.repeat(np.arange(rows), np.diff(block.offsets))
+            counts = np.bincount(row_of * 256 + raw, minlength=rows * 256).reshape(rows, 256)
+        else:  # a text of any length, part by part
+            counts = sum((np.bincount(raw[a : a + BLOCK], minlength=256) for a in range(0, len(raw), BLOCK)), np.zeros(256, np.int64))[None]
         size = np.maximum(np.diff(block.offsets), 1)[:, None]
         f = out[first:last]
         n = np.diff(block.bounds)
@@ -180,17 +183,15 @@ def learn(scratch: common.Scratch, found: DataFrame, labels: DataFrame, max_fit:
     return model
 
 
-def apply(model: Model):
-    """Arrow function: the batch with a last column ``__score`` from its column ``__text``, which is dropped."""
+def apply(model: Model, at: int):
+    """Arrow function: batches of one struct column to that and ``__score``, of the text at place ``at`` in it."""
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            score = model.scores(features(batch.column(at))) if batch.num_rows else np.zeros(0)
-            rest = batch.remove_column(at)
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(score)], [*rest.schema.names, "__score"])
+            score = model.scores(features(batch.column(0).field(at))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["row", "__score"])
 
-    return run
+    return common.tidy(run)
 
 
 def labelled(labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -199,16 +200,16 @@ def labelled(labels: DataFrame, label: str = "quality") -> DataFrame:
 
 def keep(scratch: common.Scratch, docs: DataFrame, labels: DataFrame, cut: float = CUT, max_fit: int = MAX_FIT) -> DataFrame:
     """The rows of ``docs`` that score ``cut`` or more, with their own columns."""
-    model = learn(scratch, docs.select("doc_id", "text").mapInArrow(extract, f"key {docs.schema['doc_id'].dataType.simpleString()}, x array<float>"), labelled(labels), max_fit)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("__text"))
-    scored = held.mapInArrow(apply(model), f"row {held.schema['row'].dataType.simpleString()}, __score double")
+    model = learn(scratch, docs.select("doc_id", "text").mapInArrow(common.tidy(extract), f"key {docs.schema['doc_id'].dataType.simpleString()}, x array<float>"), labelled(labels), max_fit)
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    scored = held.mapInArrow(apply(model, docs.columns.index("text")), f"row {held.schema['row'].dataType.simpleString()}, __score double")
     return scored.filter(F.col("__score") >= cut).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     scratch = common.Scratch(spark, "quality")
-    found = scratch.write(docs.mapInArrow(extract, "key bigint, x array<float>"), "features")
+    found = scratch.write(docs.mapInArrow(common.tidy(extract), "key bigint, x array<float>"), "features")
     model = learn(scratch, found, labelled(common.table(spark, sf_dir, "labels")))
 
     def score(batches):

@@ -21,8 +21,9 @@ whole. ``pieces_are_safe`` checks the vocabulary file for what this relies on; f
 any other file every text is encoded whole.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id stands
-first; rows that repeat a doc_id are written each, in order of their text; an empty
-table gives an empty manifest and no rows.
+first; rows that repeat a doc_id are written each, in order of a hash of their text; an empty
+table gives an empty manifest and no rows; columns besides doc_id and text are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -35,15 +36,17 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
-from tidewatch.llm.words import BASE, INVERSE, blocks, mix, powers, text_buffers
+from tidewatch.llm.words import BASE, BLOCK, INVERSE, blocks, mix, parts, powers, text_buffers
 
 END_ID = 2
 #: Pieces kept by a worker; the cache starts anew beyond it.
-CACHE = 600_000
+CACHE = 150_000
+#: Shards whose ids are summed in a task.
+SUMMED = 4096
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 64 << 20
 
@@ -152,6 +155,9 @@ class Encoder:
                 at = offsets[first : last + 1] - offsets[first]
                 for ids in self.whole([body[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]):
                     yield np.asarray(ids, np.uint32)
+            elif last - first == 1 and len(raw) > BLOCK:  # parts of a long text end with white space, which parts tokens for certain
+                each = [next(self.block(raw[a:b], np.array([0, b - a]))) for a, b in parts(raw, SPACE)]
+                yield np.concatenate(each)
             else:
                 yield from self.block(raw, offsets[first : last + 1] - offsets[first])
 
@@ -251,7 +257,7 @@ def writer(folder: str, tokenizer: str, end_id: int):
         for batch in batches:
             if out is None and batch.num_rows:
                 fs.create_dir(base, recursive=True)
-                out = fs.open_output_stream(f"{base}/{name}.bin", buffer_size=1 << 20)
+                out = fs.open_output_stream(f"{base}/{name}.bin", compression=None, buffer_size=1 << 20)
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1)), strict=True):
                 record = frame(b"".join(((doc_id or 0).to_bytes(8, "little", signed=True), bytes((doc_id is None, encoder.width)), ids.astype(kind).tobytes(), end)))
                 out.write(record)
@@ -261,7 +267,7 @@ def writer(folder: str, tokenizer: str, end_id: int):
                 total += len(ids) + 1
         if out is not None:
             out.close()
-            with fs.open_output_stream(f"{base}/{name}.idx") as f:
+            with fs.open_output_stream(f"{base}/{name}.idx", compression=None) as f:
                 f.write(np.array(offsets, np.uint64).tobytes())
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/{name}"], "docs": [docs], "ids": [total], "bytes": [at]})
 
@@ -271,20 +277,18 @@ def writer(folder: str, tokenizer: str, end_id: int):
 def write(scratch: common.Scratch, docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> DataFrame:
     """Write ``docs(doc_id, text)`` as shards below ``folder``; the manifest, with ``before``: the ids of all shards before.
 
-    The manifest has a row for each shard, so its running sum is taken over few rows.
+    Running sums go by blocks of shards, so no task holds more than a block of them or one row for each block.
     """
     spark = scratch.spark
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(common.partitions(spark), -(-size // SHARD_BYTES))
     placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    made = placed.mapInArrow(writer(folder, tokenizer, end_id), MANIFEST)
-    scratch.write(made, "shards")
-    rows = spark.read.parquet(scratch.path("shards")).orderBy("shard").collect()
-    before, out = 0, []
-    for r in rows:
-        out.append((r["shard"], r["path"], r["docs"], r["ids"], r["bytes"], before))
-        before += r["ids"]
-    return spark.createDataFrame(out, MANIFEST + ", before bigint")
+    made = placed.mapInArrow(common.tidy(writer(folder, tokenizer, end_id)), MANIFEST)
+    rows = scratch.write(made, "shards").withColumn("block", F.floor(F.col("shard") / SUMMED))
+    upto = lambda w: F.coalesce(F.sum("ids").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks_before = rows.groupBy("block").agg(F.sum("ids").alias("ids")).select("block", upto(Window.orderBy("block")).alias("from"))
+    rows = rows.join(F.broadcast(blocks_before), "block").withColumn("before", F.col("from") + upto(Window.partitionBy("block").orderBy("shard")))
+    return scratch.write(rows.select(*[c.split()[0] for c in MANIFEST.split(", ")], "before"), "manifest")
 
 
 def reader(batches):
@@ -292,10 +296,10 @@ def reader(batches):
     for batch in batches:
         for path, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             fs, base = opened(path)
-            with fs.open_input_stream(f"{base}.idx") as f:
+            with fs.open_input_stream(f"{base}.idx", compression=None) as f:
                 index = np.frombuffer(f.read(), np.uint64)
             rows, at, start = [], 0, before
-            with fs.open_input_stream(f"{base}.bin", buffer_size=1 << 20) as f:
+            with fs.open_input_stream(f"{base}.bin", compression=None, buffer_size=1 << 20) as f:
                 while (data := unframe(f)) is not None:
                     if len(rows) >= len(index) or index[len(rows)] != at:
                         raise ValueError(f"index and records differ in {path}")
@@ -312,7 +316,7 @@ def reader(batches):
 def read(manifest: DataFrame) -> DataFrame:
     """Every record of the shards: doc_id, start, n_tokens and ids_crc32, checksums and index confirmed."""
     few = manifest.select("path", "before")
-    return few.repartition(max(1, manifest.count())).mapInArrow(reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return few.repartition(max(1, manifest.count())).mapInArrow(common.tidy(reader), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def record_at(path: str, k: int) -> bytes:
