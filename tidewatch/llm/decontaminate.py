@@ -9,13 +9,16 @@ position of the shingle in the window gives the only place at which the window c
 stand (positional bound), which must lie within the document (length bound), and
 the words there are compared with the window's.
 
-Two scans of the texts: one counts benchmark shingles, one finds prefix shingles.
+Two scans of the texts: one counts benchmark shingles, one finds prefix shingles, each
+place of one a row of its own.
 A bitmap of at most ``MAX_BITS`` bits, whatever the benchmark's size, keeps other
 shingles from leaving the scan; what it lets pass wrongly is dropped by the joins.
 
 Defined cases: null or wordless texts have no words and hit nothing; null or
 wordless items have no windows; items that repeat an item_id count once; each row
-of a repeated doc_id is judged by its own text; empty tables give no hits.
+of a repeated doc_id is judged by its own text; empty tables give no hits; ``clean`` holds
+the input in one struct, so its columns may have any names, and ``report`` reads key and
+text alone.
 """
 
 from __future__ import annotations
@@ -30,8 +33,6 @@ from tidewatch.llm.words import words
 
 WINDOW, SHINGLE = 10, 5
 MIN_BITS, MAX_BITS = 1 << 20, 1 << 26
-#: Rows up to which a table of windows or of keys is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def cut_items(window: int, shingle: int):
@@ -85,32 +86,38 @@ def count_grams(ks: list[int], flags):
     return run
 
 
-OCC = "struct<g:bigint,at:bigint,from_at:bigint,near:string>"
+#: Rows of a text: one with its key and n_words, and one for each place of a flagged shingle.
+FOUND = "n_words bigint, g bigint, at bigint, from_at bigint, near string"
 
 
 def find_grams(ks: list[int], flags, window: int):
-    """Arrow function: (key, text) to key, n_words and the places of flagged shingles with the words around."""
-    kind = pa.list_(pa.struct([("g", pa.int64()), ("at", pa.int64()), ("from_at", pa.int64()), ("near", pa.string())]))
+    """Arrow function: (uid, key, text) to FOUND; a place (shingle g at word ``at``) comes with the words around, from ``from_at`` on."""
 
     def run(batches):
         for batch in batches:
-            n_words, occ = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
-            for block in words(batch.column(1)):
-                n_words[block.first : block.last] = np.diff(block.bounds)
+            for block in words(batch.column(2)):
+                n = np.diff(block.bounds)
+                rows = np.arange(block.first, block.last)
+                none = pa.nulls(len(rows), pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[:2]), pa.array(n), none, none, none, pa.nulls(len(rows), pa.string())], names)
                 for k in ks:
-                    for g, at, row in zip(*found_in(block, k, flags.value), strict=True):
-                        lo, hi = block.bounds[row], block.bounds[row + 1]
-                        a, b = max(lo, at - window + 1), min(hi, at + window)
-                        near = bytes(block.data[block.starts[a] : block.ends[b - 1]]).decode("utf-8", "replace")
-                        occ[block.first + row].append({"g": int(g.view(np.int64)), "at": int(at - lo), "from_at": int(a - lo), "near": near})
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words), pa.array(occ, kind)], ["key", "n_words", "occ"])
+                    g, at, row = found_in(block, k, flags.value)
+                    for lo in range(0, len(g), PLACES):
+                        yield places(batch, block, g[lo : lo + PLACES], at[lo : lo + PLACES], row[lo : lo + PLACES], n)
 
-    return run
+    def places(batch, block, g, at, row, n):
+        low, high = block.bounds[row], block.bounds[row + 1]
+        a, b = np.maximum(low, at - window + 1), np.minimum(high, at + window)
+        near = [bytes(block.data[x:y]).decode("utf-8", "replace") for x, y in zip(block.starts[a].tolist(), block.ends[b - 1].tolist(), strict=True)]
+        held = [c.take(pa.array(block.first + row)) for c in batch.columns[:2]]
+        return pa.RecordBatch.from_arrays([*held, pa.array(n[row]), pa.array(g.view(np.int64)), pa.array(at - low), pa.array(a - low), pa.array(near, pa.string())], names)
+
+    names = ["uid", "key", "n_words", "g", "at", "from_at", "near"]
+    return common.tidy(run)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows allow it."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+#: Places in a batch that leaves a scan.
+PLACES = 4096
 
 
 def judge(scratch: common.Scratch, docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -123,21 +130,21 @@ def judge(scratch: common.Scratch, docs: DataFrame, benchmark: DataFrame, window
     bits = min(MAX_BITS, max(MIN_BITS, 1 << (64 * n_grams).bit_length()))
     ks = [r.k for r in wins.select("k").distinct().collect()]  # at most ``shingle`` values
     flags = spark.sparkContext.broadcast(bitmap(grams, bits))
-    seen = docs.select("text").mapInArrow(count_grams(ks, flags), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
+    seen = docs.select("text").mapInArrow(common.tidy(count_grams(ks, flags)), "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n"))
     counts = scratch.write(grams.join(seen, "g", "left").select("g", F.coalesce("n", F.lit(0)).alias("df")), "rarity")
     places = wins.select("text", "n", F.posexplode("grams").alias("off", "g")).join(counts, "g")
     prefix = places.groupBy("text", "n").agg(F.min(F.struct("df", "g", "off")).alias("p")).select("text", "n", F.col("p.g").alias("g"), F.col("p.off").alias("off"))
     prefix = scratch.write(prefix, "prefix")
     flags = spark.sparkContext.broadcast(bitmap(prefix.select("g").distinct(), bits))
     key = docs.schema["key"].dataType.simpleString()
-    rows = docs.select("key", "text").mapInArrow(find_grams(ks, flags, window), f"key {key}, n_words bigint, occ array<{OCC}>")
-    rows = scratch.write(rows.withColumn("uid", F.monotonically_increasing_id()), "rows")
-    near = rows.select("uid", "n_words", F.explode("occ").alias("o")).select("uid", "n_words", "o.*")
+    each = docs.select(F.monotonically_increasing_id().alias("uid"), "key", "text").mapInArrow(find_grams(ks, flags, window), f"uid bigint, key {key}, {FOUND}")
+    each = scratch.write(each, "rows")  # one scan gives both, so a text and its places have the same uid
+    rows, near = each.filter("g is null").select("uid", "key", "n_words"), each.filter("g is not null").drop("key")
     start = F.col("at") - F.col("off")
-    near = near.join(small(prefix), "g").filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
+    near = near.join(common.small(prefix), "g").filter((start >= 0) & (start + F.col("n") <= F.col("n_words")))
     there = F.slice(F.split("near", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), (start - F.col("from_at") + 1).cast("int"), F.col("n"))
     hits = scratch.write(near.filter(F.array_join(there, " ") == F.col("text")).select("uid", start.alias("start"), "n", "text"), "hits")
-    named = hits.join(small(wins.select("text", "item_id").distinct()), "text").select("uid", "item_id").distinct()
+    named = hits.join(common.small(wins.select("text", "item_id").distinct()), "text").select("uid", "item_id").distinct()
     return rows.select("uid", "key", "n_words"), hits.select("uid", "start", "n").distinct(), named
 
 
@@ -164,7 +171,7 @@ def clean(scratch: common.Scratch, docs: DataFrame, benchmark: DataFrame, window
     rows, hits, _ = judge(scratch, docs.select(sha.alias("key"), F.col(text).alias("text")), benchmark, window, shingle)
     bad = scratch.write(rows.join(hits.select("uid").distinct(), "uid", "left_semi").select(F.col("key").alias("sha")).distinct(), "bad")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), sha.alias("sha"))
-    return held.join(small(bad), "sha", "left_anti").select("row.*")
+    return held.join(common.small(bad), "sha", "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
