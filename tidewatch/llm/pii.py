@@ -9,7 +9,10 @@ Patterns are possessive or guarded by look-behind, so that no run of characters
 scanned again from each of its positions and no loop recurses in the matcher.
 
 Defined cases: a null text is empty and has no spans; rows that repeat an id are
-judged one by one; an empty table gives no rows. Offsets are code points.
+judged one by one; an empty table gives no rows. Offsets are code points. Other columns
+of the input are carried in ``row`` and may have any names. Overlaps are found by
+binary search and context is taken from the pieces before a span, so the cost of a text
+grows with its length and its matches.
 """
 
 from __future__ import annotations
@@ -20,8 +23,6 @@ from pyspark.sql import functions as F
 from tidewatch.llm import common, spans
 
 KEEP = 0.6
-#: Code points before a span in which context words count.
-NEAR = 48
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 BASE = ("email", "ip", "card", "phone")
@@ -79,8 +80,8 @@ CHECKS = {
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` without its text, with ``base`` and ``all``: arrays of (start, place, kind, end, value, score), in order."""
-    body = F.col(text)
+    """``row`` (all columns but the text), ``base`` and ``all``: arrays of (start, place, kind, end, value, score), in order."""
+    body = F.col("text")
     may = {
         "email": body.contains("@"),
         "ip": body.rlike(r"[0-9]\.[0-9]"),
@@ -90,29 +91,22 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
         "ssn": body.rlike(r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
         "tel": body.rlike(r"[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}"),
     }
-    found = spans.located(docs, text, {k: (PATTERNS[k], may[k]) for k in PATTERNS})
+    found = spans.located(spans.held(docs, text), {k: (PATTERNS[k], may[k]) for k in PATTERNS}, {k: words for k, (words, _) in CONTEXT.items()})
 
     def scored(kind: str) -> Column:
         place = list(PATTERNS).index(kind)
         good = F.filter(f"m_{kind}", lambda x: CHECKS[kind](x["value"]))
-
-        def score(x):
-            if kind in BASE:
-                return F.lit(1.0)
-            words, more = CONTEXT[kind]
-            near = F.substring(body, F.greatest(x["start"] - NEAR, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(NEAR)).cast("int"))
-            return F.lit(ADDED[kind]) + F.when(near.rlike(words), F.lit(more)).otherwise(F.lit(0.0))
-
+        score = lambda x: F.lit(1.0) if kind in BASE else F.lit(ADDED[kind]) + F.when(x["near"], F.lit(CONTEXT[kind][1])).otherwise(F.lit(0.0))
         return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), score(x).alias("score")))
 
     found = found.withColumn("base", F.array_sort(F.concat(*map(scored, BASE))))
-    more = F.concat(*[F.filter(scored(k), lambda x: x["score"] >= KEEP) for k in ADDED])
-    found = found.withColumn("more", spans.apart(more, F.col("base")))
+    found = found.withColumn("more", F.concat(*[F.filter(scored(k), lambda x: x["score"] >= KEEP) for k in ADDED]))
+    found = spans.apart(found, "more", "base")
     found = found.withColumn("all", F.when(F.size("more") > 0, F.array_sort(F.concat("base", "more"))).otherwise(F.col("base")))
-    return found.drop(text, "more", *[f"m_{k}" for k in PATTERNS])
+    return found.select("row", "base", "all")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [spans.number(F.col("base"), k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *count, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("all")).alias("spans"))
+    return found.select("row.doc_id", *count, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("all")).alias("spans"), (F.size("all") > 0).alias("has_personal_data"))

@@ -9,7 +9,8 @@ thresholds under the models (see ``shortest``) aren't proposed.
 
 Defined cases: a null text is empty and has no spans; rows that repeat an id are
 judged one by one; an empty table gives no rows; characters outside the alphabet
-share one symbol. Offsets are code points.
+share one symbol. Offsets are code points. Other columns of the input are carried in
+``row`` and may have any names.
 """
 
 from __future__ import annotations
@@ -110,9 +111,9 @@ def ratio(value: Column, model: Column) -> Column:
 
 
 def find(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None) -> DataFrame:
-    """``docs`` without its text, with ``base`` and ``all``: arrays of (start, place, kind, end, value, score), in order."""
+    """``row`` (all columns but the text), ``base`` and ``all``: arrays of (start, place, kind, end, value, score), in order."""
     weights = train(labelled if labelled is not None else samples(docs.sparkSession))
-    body = F.col(text)
+    body = F.col("text")
     patterns = PATTERNS | {"random": f"{PATTERNS['random']}{{{shortest(weights)},}}+"}
     may = {
         "assign": body.rlike(r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]"),
@@ -120,7 +121,7 @@ def find(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None)
         "hex": body.rlike("[0-9a-f]{24}"),
         "random": body.rlike(patterns["random"]),
     }
-    found = spans.located(docs, text, {k: (patterns[k], may[k]) for k in patterns})
+    found = spans.located(spans.held(docs, text), {k: (patterns[k], may[k]) for k in patterns})
     checks = {
         "assign": lambda v: F.length(F.regexp_extract(v, r"""^(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)$""", 1)) >= 6,
         "access": lambda v: F.length(v) >= 20,
@@ -135,16 +136,16 @@ def find(docs: DataFrame, text: str = "text", labelled: DataFrame | None = None)
         return F.transform(values, lambda x: F.struct(x["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), x["end"].alias("end"), x["value"].alias("value"), score(x).alias("score")))
 
     found = found.withColumn("base", F.array_sort(F.concat(*[spanned(k, passing(k), lambda x: F.lit(1.0)) for k in BASE])))
-    found = found.withColumn("m_random", spans.apart(F.col("m_random"), F.col("base")))
+    found = spans.apart(found, "m_random", "base")
     model = F.lit(weights)
     more = spanned("random", F.col("m_random"), lambda x: ratio(x["value"], model))
     found = found.withColumn("more", more)
     found = found.withColumn("more", F.filter("more", lambda x: (x["score"] >= TOTAL) & (x["score"] >= EACH * F.length(x["value"]))))
     found = found.withColumn("all", F.when(F.size("more") > 0, F.array_sort(F.concat("base", "more"))).otherwise(F.col("base")))
-    return found.drop(text, "more", *[f"m_{k}" for k in PATTERNS])
+    return found.select("row", "base", "all")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [spans.number(F.col("base"), k).alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *count, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("all")).alias("spans"))
+    return found.select("row.doc_id", *count, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"), spans.joined(F.col("all")).alias("spans"), (F.size("all") > 0).alias("has_secret"))
