@@ -10,12 +10,17 @@ The reader takes the dictionary from the leading frame, finds each frame's end f
 its block headers, decodes it, and checks: the checksum and content size of the
 frame, the version line, mandatory headers, Content-Length against the block, the
 payload's length and digest, and the record count of the manifest. Anything wrong
-raises ``Damaged``.
+raises ``Damaged``. Archives of other writers may leave out what the format leaves to
+them: a frame's content size (records are then decoded in steps, up to
+``MOST_RECORD_BYTES``), HTTP's Content-Length, the payload digest or the count in the
+manifest; digests may be of any algorithm, in base 32 or hex, and are checked where
+hashlib knows it. Transfer codings aren't undone: such a payload is the body as stored,
+and neither its HTTP length nor its digest is checked.
 
 Defined cases: a null html is an empty payload; a null url leaves out the target; a
 null page_id is written as such and is original only among nulls; rows that repeat
 the largest page_id of a payload are all responses; an empty table gives no archive
-and no rows. The dictionary is trained on at most ``SAMPLES`` pages; where that is
+and no rows; other columns of the input are not read, whatever their names. The dictionary is trained on at most ``SAMPLES`` pages; where that is
 too little for training, their text itself is the dictionary.
 """
 
@@ -41,8 +46,8 @@ LEVEL = 3
 SAMPLES, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 16_384, 65_536
 #: Payloads of at least so many bytes are told apart into response and revisit.
 REVISIT_FROM = 0
-#: Digests of repeated payloads up to which they are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
+#: Bytes of a decoded record at most, where its frame doesn't state them.
+MOST_RECORD_BYTES = 1 << 30
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -116,7 +121,7 @@ def writer(folder: str, dictionary_bytes: bytes):
         for batch in batches:
             if out is None and batch.num_rows:
                 fs.create_dir(base, recursive=True)
-                out = fs.open_output_stream(f"{base}/{name}", buffer_size=1 << 20)
+                out = fs.open_output_stream(f"{base}/{name}", compression=None, buffer_size=1 << 20)  # pyarrow would compress by the name's ending
                 size += out.write(leading_frame(dictionary_bytes)) or 0
                 out.write(press.compress(info()))
             for page_id, url, html, digest, original, repeated in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -169,6 +174,20 @@ def frame_of(source: Source) -> bytes:
     return b"".join(parts)
 
 
+def decoded(reader: zstandard.ZstdDecompressor, frame: bytes, most: int = MOST_RECORD_BYTES) -> bytes:
+    """Content of a frame."""
+    if zstandard.frame_content_size(frame) >= 0:
+        return reader.decompress(frame)
+    steps, size = [], 0
+    with reader.stream_reader(frame) as f:
+        while step := f.read(1 << 20):
+            steps.append(step)
+            size += len(step)
+            if size > most:
+                raise Damaged(f"record of more than {most} bytes")
+    return b"".join(steps)
+
+
 def records(stream):
     """Decoded records of an archive, one for each frame."""
     source, reader, first = Source(stream), zstandard.ZstdDecompressor(), True
@@ -183,7 +202,7 @@ def records(stream):
                 reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
         elif magic == FRAME:
             try:
-                yield reader.decompress(frame_of(source))
+                yield decoded(reader, frame_of(source))
             except zstandard.ZstdError as e:
                 raise Damaged(f"frame can't be decoded: {e}") from e
         else:
@@ -214,18 +233,37 @@ def parsed(raw: bytes) -> tuple[dict[str, str], bytes]:
 READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
+def digest_fits(given: str, payload: bytes) -> bool:
+    """Whether a labelled digest is the payload's; True where hashlib doesn't know the algorithm."""
+    name, _, value = given.partition(":")
+    try:
+        raw = hashlib.new(name.lower().replace("-", ""), payload, usedforsecurity=False).digest()
+    except (ValueError, TypeError):
+        return True
+    return value.upper().rstrip("=") in (base64.b32encode(raw).decode().rstrip("="), raw.hex().upper())
+
+
 def page(headers: dict[str, str], block: bytes, payloads: bool) -> tuple:
-    """A row of READ from a response or revisit record."""
-    top, gap, payload = block.partition(b"\r\n\r\n")
-    size = re.search(rb"(?i)\r\nContent-Length: *([0-9]+)(?:\r\n|$)", top)
-    digest = headers.get("warc-payload-digest", "")
-    if not gap or not size or not digest.startswith("sha1:"):
-        raise Damaged("no HTTP head or payload digest")
-    kind, n, digest = headers["warc-type"], int(size[1]), digest[5:]
-    if kind == "response" and (len(payload) != n or base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode() != digest):
-        raise Damaged("payload differs from its length or digest")
-    if kind == "revisit" and payload:
-        raise Damaged("revisit with a payload")
+    """A row of READ from a response or revisit record; the digest of a response is its SHA-1 in base 32, of a revisit the given one."""
+    kind, given = headers["warc-type"], headers.get("warc-payload-digest", "")
+    size, payload, coded = None, block, False
+    if headers.get("content-type", "application/http").partition(";")[0].strip().lower() == "application/http":
+        top, gap, payload = block.partition(b"\r\n\r\n")
+        if not gap:
+            raise Damaged("no HTTP head")
+        size = re.search(rb"(?i)\r\nContent-Length: *([0-9]+)(?:\r\n|$)", top)
+        coded = re.search(rb"(?i)\r\nTransfer-Encoding:", top) is not None
+    n = len(payload) if size is None else int(size[1])
+    if kind == "response":
+        if "warc-truncated" in headers or coded:
+            n = len(payload)
+        elif len(payload) != n or (given and not digest_fits(given, payload)):
+            raise Damaged("payload differs from its length or digest")
+        digest = base64.b32encode(hashlib.sha1(payload, usedforsecurity=False).digest()).decode()
+    else:
+        if payload:
+            raise Damaged("revisit with a payload")
+        digest = (given.removeprefix("sha1:") or None) if given else None
     number = lambda x: int(x) if x else None
     return number(headers.get("x-page-id")), headers.get("warc-target-uri"), n, digest, kind, number(headers.get("x-refers-to-page-id")), payload if payloads and kind == "response" else None
 
@@ -243,7 +281,7 @@ def reader(payloads: bool):
             for path, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, base = opened(path)
                 rows, seen = [], 0
-                with fs.open_input_stream(base, buffer_size=1 << 20) as f:
+                with fs.open_input_stream(base, compression=None, buffer_size=1 << 20) as f:
                     for raw in records(f):
                         headers, block = parsed(raw)
                         if headers["warc-type"] in ("response", "revisit"):
@@ -252,7 +290,7 @@ def reader(payloads: bool):
                         if len(rows) >= (500 if payloads else 10_000):
                             yield out(rows)
                             rows = []
-                if seen != expected:
+                if expected is not None and seen != expected:
                     raise Damaged(f"{seen} records in {path}, {expected} written")
                 if rows:
                     yield out(rows)
@@ -266,20 +304,19 @@ def write(scratch: common.Scratch, pages: DataFrame, folder: str, revisit_from:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"))
     same = rows.filter(F.col("size") >= revisit_from).groupBy("digest", "size").agg(F.max("page_id").alias("original"), F.count("*").alias("n")).filter("n > 1").select("digest", "size", "original", F.lit(True).alias("repeated"))
     same = scratch.write(same, "repeated")
-    if same.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        same = F.broadcast(same)
+    same = common.small(same)
     # about twice as many pages as wanted by a bound on the hash, so that what tasks send doesn't grow with their number
     bound = F.pmod(F.xxhash64("page_id", F.lit(7)), F.lit(1 << 30))
     n = pages.count()
     few = pages.filter(bound < int(min(1.0, 2 * SAMPLES / max(n, 1)) * (1 << 30))).select(bound.alias("h"), F.substring(html, 1, SAMPLE_CHARS).alias("t"))
     learned = dictionary([(r.t or "").encode() for r in few.orderBy("h", "t").limit(SAMPLES).collect()])
     ready = rows.join(same, ["digest", "size"], "left").select("page_id", "url", "html", "digest", "original", "repeated")
-    return scratch.write(ready.mapInArrow(writer(folder, learned), MANIFEST), "manifest")
+    return scratch.write(ready.mapInArrow(common.tidy(writer(folder, learned)), MANIFEST), "manifest")
 
 
 def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every response and revisit record of the archives, validated; see READ."""
-    return manifest.select("path", "records").repartition(max(1, manifest.count())).mapInArrow(reader(payloads), READ)
+    """Every response and revisit record of the archives of ``manifest(path, records)``, records null if unknown; validated; see READ."""
+    return manifest.select("path", F.col("records").cast("long").alias("records")).repartition(max(1, manifest.count())).mapInArrow(common.tidy(reader(payloads)), READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
