@@ -469,14 +469,14 @@ def test_embeddings_in_divided_buckets(spark, monkeypatch):
     assert embed_dedup.dedup(scratch(spark), spark.createDataFrame([], "key bigint, embedding array<float>")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op3_decontaminate", "op5_warc", "op6_mixing"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op3_decontaminate", "op4_embed_dedup", "op5_warc", "op6_mixing", "op7_ngram_join"])
 def test_oracles(spark, name):
     import duckdb
 
     from tidewatch.llm.registry import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got, want = QUERIES[name](spark, SF).toPandas(), con.execute(ORACLES[name]).df()
     rows = lambda df: sorted(map(repr, df[sorted(df.columns)].astype(object).where(df[sorted(df.columns)].notna(), None).values.tolist()))

@@ -192,3 +192,17 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = common.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("key"), "embedding")
     out = dedup(common.Scratch(spark, "embed-dedup"), vectors)
     return out.select(F.col("key").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.coalesce(F.col("key") == F.col("component"), F.lit(False)).alias("kept"))
+
+
+#: All pairs by cosine, and what each vector reaches by links.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT rid, x FROM v WHERE len(x) > 0 AND len(list_filter(x, lambda k: k IS NULL OR NOT isfinite(k))) = 0 AND list_max(list_transform(x, lambda k: abs(k))) > 0),
+l AS (SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.rid < b.rid WHERE CASE WHEN len(a.x) = len(b.x) THEN list_cosine_similarity(a.x, b.x) >= 0.95 ELSE false END),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, other) AS (SELECT a, b FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.other = e.a),
+k AS (SELECT a AS rid, count(*) AS n_links FROM e GROUP BY a),
+c AS (SELECT id AS rid, min(vec_id) AS least FROM reach JOIN v ON v.rid = other GROUP BY id)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(least(vec_id, c.least), vec_id) AS component_id, coalesce(vec_id <= c.least, vec_id IS NOT NULL) AS kept
+FROM v LEFT JOIN k USING (rid) LEFT JOIN c USING (rid)
+"""

@@ -349,3 +349,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
     out = join(common.Scratch(spark, "ngram-join"), docs)
     return out.select(F.col("key").alias("doc_id"), F.col("class_key").alias("class_id"), "n_links", F.coalesce(F.col("key") == F.col("class_key"), F.lit(False)).alias("kept"))
+
+
+#: All pairs that share a shingle, and what each text reaches by links.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+g AS (SELECT rid, unnest(list_distinct(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i + least(len(w), 5) - 1], ' ')))) AS s FROM d WHERE len(w) > 0),
+n AS (SELECT rid, count(*) AS n FROM g GROUP BY rid),
+p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.rid < y.rid GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE c >= 0.8 * (na.n + nb.n - c) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, other) AS (SELECT a, b FROM e UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.other = e.a),
+k AS (SELECT a AS rid, count(*) AS n_links FROM e GROUP BY a),
+c AS (SELECT id AS rid, min(doc_id) AS least FROM reach JOIN d ON d.rid = other GROUP BY id)
+SELECT doc_id, CASE WHEN c.rid IS NULL THEN doc_id ELSE least(doc_id, c.least) END AS class_id, coalesce(n_links, 0) AS n_links,
+       coalesce(doc_id = CASE WHEN c.rid IS NULL THEN doc_id ELSE least(doc_id, c.least) END, false) AS kept
+FROM d LEFT JOIN k USING (rid) LEFT JOIN c USING (rid)
+"""

@@ -20,6 +20,8 @@ QUERIES = {
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op4_embed_dedup": embed_dedup.ORACLE,
     "op5_warc": warc.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op7_ngram_join": ngram_join.ORACLE,
 }
