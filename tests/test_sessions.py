@@ -99,3 +99,27 @@ def test_rolling(spark):
     x = [9 * 9, 7 * 7, 5 * 5]
     mean = sum(x) / 3
     assert got[9] == round((81 - mean) / (sum((v - mean) ** 2 for v in x) / 2) ** 0.5, 4)
+
+
+def test_split_follows_the_busiest_user(spark):
+    events = raw(spark, [(60 * k, {}) for k in range(200)] + [(5, {"username": "other"})])
+    assert sessions.split_for(events) is None and sessions.split_for(events.limit(0)) is None
+    assert [sessions.split_for(events, n) for n in (199, 170, 30, 1)] == ["week", "week", "day", "hour"]
+
+
+def test_export_program(spark, tmp_path, monkeypatch):
+    import json
+
+    from tidewatch.plans import export
+    from tidewatch.sources import tables
+
+    alerts = [{"timestamp": f"2024-01-15T{h:02d}:00:00Z", "data": {"id": "4624", "srcuser": u}} for h in (8, 9, 20) for u in ("ann", "bob")]
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, alerts)))
+    for n, split in enumerate(("auto", "day")):
+        assert export.main(["--input", str(tmp_path / "a.json"), "--output", str(tmp_path / f"out{n}"), "--split", split, "--single", "--verbose", "--log-file", str(tmp_path / "log")]) == 0
+    both = [tables.read_csv(spark, str(tmp_path / f"out{n}")).drop("ts") for n in range(2)]
+    assert both[0].count() == 4 and both[0].exceptAll(both[1]).isEmpty()
+    said = (tmp_path / "log").read_text()
+    assert "4 sessions of 2 users" in said and "ann: 2 sessions" in said
+    (tmp_path / "empty.json").write_text("")
+    assert export.main(["--input", str(tmp_path / "empty.json"), "--output", str(tmp_path / "none")]) == 1

@@ -52,6 +52,20 @@ def started(events: DataFrame, minutes: float, split: str) -> DataFrame:
     return out.withColumn("session", F.coalesce(own, F.col("carried"))).drop("__fresh", "__part", "before", "carried")
 
 
+#: Events of one user that a task can take well.
+BUSY = 5_000_000
+
+
+def split_for(events: DataFrame, busy: int = BUSY) -> str | None:
+    """The period by which to deal events, by the busiest user's: None (one task a user) up to ``busy``, else the longest that parts them enough."""
+    most = events.groupBy("username").agg(F.count("*").alias("n"), F.min("ts_utc").alias("first"), F.max("ts_utc").alias("last")).orderBy(F.desc("n")).first()
+    if most is None or most["n"] <= busy:
+        return None
+    days = max((most["last"] - most["first"]).total_seconds() / 86400, 1e-9)
+    lengths = {"month": 30, "week": 7, "day": 1, "hour": 1 / 24}
+    return next((p for p, length in lengths.items() if most["n"] * min(length / days, 1) <= busy), "hour")
+
+
 def when_filled(column: str, *classes: str) -> Column:
     return event_is(*classes) & (F.col(column) != "")
 

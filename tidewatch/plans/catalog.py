@@ -354,6 +354,7 @@ def _(spark, d):
 
 @query("autoencoder_score")
 def _(spark, d):
+    """Trained on autoencoder.MOST_ROWS rows at most, all epochs; the threshold and the scores take every row."""
     scaled = fitted_on_events(spark, d)
     model = autoencoder.fit(scaled)
     return autoencoder.score(scaled, model).select("username", "timestamp", "mse", F.lit(model.threshold).alias("threshold"))
