@@ -211,3 +211,19 @@ def test_digest_column(spark):
 
     rows = QUERIES["op2_pii"](spark, SF).collect()
     assert all(hashlib.sha256(r["spans"].encode()).hexdigest() == r["base_sha256"] for r in rows)
+
+
+@pytest.mark.parametrize("name", ["op1_url_filter", "op2_pii", "op6_mixing", "op8_secrets"])
+def test_compiled_plans_agree(spark, name):
+    """With whole-stage code generation, which the other tests turn off, the results are the same."""
+    from tidewatch.llm.registry import QUERIES
+
+    got = []
+    before = spark.conf.get("spark.sql.codegen.wholeStage")
+    for on in ("true", "false"):
+        spark.conf.set("spark.sql.codegen.wholeStage", on)
+        try:
+            got.append(sorted(map(repr, QUERIES[name](spark, SF).collect())))
+        finally:
+            spark.conf.set("spark.sql.codegen.wholeStage", before)
+    assert got[0] == got[1] and got[0]
