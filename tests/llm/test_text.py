@@ -256,6 +256,47 @@ def test_blocks_meet_once(spark):
     assert len(met) == 40 * 39 // 2 and set(met.values()) == {1}
 
 
+def test_few_rows_are_compared_together(monkeypatch):
+    """Cells of few rows, cut by batches anywhere, give the links and weights that cells give one by one."""
+    rng = np.random.default_rng(17)
+    n = 900
+    unit = rng.normal(size=(n, 3))
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    group = np.sort(rng.choice([0, 1, 2, 3, 5, 8, *range(10, 150)], n))
+    columns = [pa.array(group), pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n) * 7 % 1009), pa.array(np.zeros(n, np.int32)), pa.array([u.tobytes() for u in unit]), pa.array(rng.integers(1, 5, n))]
+    table = pa.table(columns, ["b", "ci", "cj", "id", "side", "unit", "copies"])
+    ids, w = table.column("id").to_numpy(), table.column("copies").to_numpy()
+    alike = embed_dedup.alike(0.8)
+    linked = alike(table) & (group[:, None] == group[None, :]) & ~np.eye(n, dtype=bool)
+    own = {int(i): int(x) for i, x in zip(ids, linked @ w, strict=True) if x}
+
+    class Rows:
+        columns = table.column_names
+
+        def __getattr__(self, name):
+            return lambda *args: self
+
+        def mapInArrow(self, run, kinds):
+            return pa.Table.from_batches(list(run(iter(table.to_batches(max_chunksize=37)))))
+
+    label = cells.forest(linked)
+    for few in (0, 16):
+        monkeypatch.setattr(cells, "FEW", few)
+        got = cells.compared(Rows(), alike, "copies").to_pydict()
+        sums, edges = Counter(), []
+        for a, b, k in zip(got["a"], got["b"], got["n"], strict=True):
+            if b is None:
+                sums[a] += k
+            else:
+                edges.append((a, b))
+        assert sums == own
+        at = {int(i): k for k, i in enumerate(ids)}
+        m = np.zeros((n, n), bool)
+        for a, b in edges:
+            m[at[a], at[b]] = m[at[b], at[a]] = True
+        assert np.array_equal(cells.forest(m), label)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(20)] + [(100, 101), (101, 100), (5, 5), (200, 3)]
     got = common.components(scratch(spark), spark.createDataFrame(edges, "a bigint, b bigint"), "c").collect()

@@ -146,6 +146,22 @@ def alike(cosine: float):
             out[np.ix_(at, at)] = x @ x.T >= cosine
         return out
 
+    def pairs(batch: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        raw = batch.column("unit").to_pylist()
+        length = np.array([len(u) for u in raw])
+        out = np.zeros(len(i), bool)
+        for size in np.unique(length).tolist():
+            own = np.flatnonzero(length == size)
+            place = np.zeros(len(raw), np.int64)
+            place[own] = np.arange(len(own))
+            x = np.frombuffer(b"".join(raw[k] for k in own), np.float64).reshape(len(own), -1)
+            both = np.flatnonzero((length[i] == size) & (length[j] == size))
+            for k in range(0, len(both), 4096):
+                at = both[k : k + 4096]
+                out[at] = np.einsum("ij,ij->i", x[place[i[at]]], x[place[j[at]]]) >= cosine
+        return out
+
+    likeness.pairs = pairs
     return likeness
 
 

@@ -166,8 +166,16 @@ def alike_sketches(loose: float):
         for k in range(SKETCH):
             out += codes[:, None, k] == codes[None, :, k]
         leads = np.asarray(table.column("leads"))
-        return out >= np.where(leads[:, None] | leads[None, :], math.ceil(min(loose, BESIDE) * SKETCH), math.ceil(loose * SKETCH))
+        return out >= np.where(leads[:, None] | leads[None, :], least, most)
 
+    def pairs(batch: pa.RecordBatch, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        codes = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, SKETCH)
+        leads = np.asarray(batch.column("leads"))
+        same = np.concatenate([(codes[i[k : k + 4096]] == codes[j[k : k + 4096]]).sum(axis=1) for k in range(0, len(i), 4096)])
+        return same >= np.where(leads[i] | leads[j], least, most)
+
+    least, most = math.ceil(min(loose, BESIDE) * SKETCH), math.ceil(loose * SKETCH)
+    likeness.pairs = pairs
     return likeness
 
 
