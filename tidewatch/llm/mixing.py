@@ -8,6 +8,8 @@ only adds documents. The threshold is found without sorting documents: words are
 summed by source and hash bucket, the bucket in which the running sum passes the
 budget is divided into finer buckets, and within that fine bucket the sums by
 hash give the place. Of the two places around the budget the nearer is taken.
+Thresholds meet documents by broadcast where the sources are few enough, so a hot
+source stays in the tasks that read it.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last
 in order; rows that repeat a doc_id share a hash and are taken together; a null
@@ -83,9 +85,9 @@ def plan(scratch: common.Scratch, slim: DataFrame, weights: tuple[int, ...] = WE
         return up.filter((F.col("upto").cast("double") > F.col("rest")) & ((F.col("upto") - F.col("size")).cast("double") <= F.col("rest"))).select(*by, F.col("b").alias("at"), (F.col("upto") - F.col("size")).alias("base"), "rest")
 
     edge = scratch.write(boundary(first, goal.select(*by, "rest", F.lit(0).cast("long").alias("base"))), "edge-coarse")
-    second = slim.join(edge, by).filter(coarse == F.col("at")).groupBy(*by, fine.alias("b")).agg(F.sum("size").alias("size"))
+    second = slim.join(common.small(edge), by).filter(coarse == F.col("at")).groupBy(*by, fine.alias("b")).agg(F.sum("size").alias("size"))
     edge = scratch.write(boundary(second, edge.select(*by, "rest", "base")), "edge-fine")
-    last = slim.join(edge, by).filter(fine == F.col("at")).groupBy(*by, F.col("h").alias("b")).agg(F.sum("size").alias("size"))
+    last = slim.join(common.small(edge), by).filter(fine == F.col("at")).groupBy(*by, F.col("h").alias("b")).agg(F.sum("size").alias("size"))
     edge = boundary(last, edge.select(*by, "rest", "base")).join(last.withColumnRenamed("b", "at"), [*by, "at"])
     # the nearer of the places before and after the hash at which the budget is passed
     over = F.col("base") + F.col("size") - F.col("rest")
@@ -102,7 +104,7 @@ def mix(scratch: common.Scratch, docs: DataFrame, weights: tuple[int, ...] = WEI
     slim = scratch.write(measured(docs, key, text, source), "slim")
     found = scratch.write(plan(scratch, slim, weights, cap), "plan")
     taken = copies(F.col("whole"), F.col("threshold"), F.col("h"))
-    return slim.join(found, ["s_null", "s"]).select("row", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"))
+    return slim.join(common.small(found), ["s_null", "s"]).select("row", "size", "source_size", "target", taken.alias("copies"), (taken * F.col("size")).alias("taken"))
 
 
 def mixed_rows(scratch: common.Scratch, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -111,7 +113,7 @@ def mixed_rows(scratch: common.Scratch, docs: DataFrame, weights: tuple[int, ...
     found = scratch.write(plan(scratch, slim, weights, cap), "plan")
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").isNull().alias("s_null"), F.coalesce("source", F.lit("")).alias("s"), hash_of(F.col("doc_id")).alias("h"))
     times = copies(F.col("whole"), F.col("threshold"), F.col("h")).cast("int")
-    return keyed.join(found, ["s_null", "s"]).filter(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+    return keyed.join(common.small(found), ["s_null", "s"]).filter(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
