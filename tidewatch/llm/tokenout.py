@@ -40,13 +40,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm import common
-from tidewatch.llm.words import BASE, BLOCK, INVERSE, blocks, mix, parts, powers, text_buffers
+from tidewatch.llm.words import BASE, INVERSE, blocks, mix, parts, powers, text_buffers
 
 END_ID = 2
 #: Pieces kept by a worker; the cache starts anew beyond it.
-CACHE = 150_000
+CACHE = 600_000
 #: Shards whose ids are summed in a task.
 SUMMED = 4096
+#: Bytes of text that are looked up at a time: each time, new pieces are merged into the whole cache.
+BLOCK = 1 << 20
 #: Bytes of text in a shard, about.
 SHARD_BYTES = 64 << 20
 
@@ -148,7 +150,7 @@ class Encoder:
     def encode(self, column: pa.Array):
         """Ids of each text as arrays, block after block of rows."""
         offsets, data = text_buffers(column)
-        for first, last in blocks(offsets):
+        for first, last in blocks(offsets, BLOCK):
             raw = data[offsets[first] : offsets[last]]
             body = raw.tobytes()
             if not self.safe or any(s in body for s in self.specials):
@@ -156,7 +158,7 @@ class Encoder:
                 for ids in self.whole([body[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]):
                     yield np.asarray(ids, np.uint32)
             elif last - first == 1 and len(raw) > BLOCK:  # parts of a long text end with white space, which parts tokens for certain
-                each = [next(self.block(raw[a:b], np.array([0, b - a]))) for a, b in parts(raw, SPACE)]
+                each = [next(self.block(raw[a:b], np.array([0, b - a]))) for a, b in parts(raw, SPACE, BLOCK)]
                 yield np.concatenate(each)
             else:
                 yield from self.block(raw, offsets[first : last + 1] - offsets[first])
